@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm.packing import op3_best_fit_packing
+from tessella.llm.sharding import OP5_SQL, op5_sharding
 from tessella.llm.token_counts import op2_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts,)}
+    return {f.__name__: f for f in (op2_token_counts, op3_best_fit_packing, op5_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_sharding": OP5_SQL}
