@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm.decontamination import op9_benchmark_decontamination
+from tessella.llm.language_id import op10_language_id
+from tessella.llm.line_dedup import OP1_SQL, op1_line_dedup
 from tessella.llm.packing import op3_best_fit_packing
+from tessella.llm.quality import op4_quality_rules
 from tessella.llm.sharding import OP5_SQL, op5_sharding
 from tessella.llm.token_counts import op2_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_best_fit_packing, op5_sharding)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_best_fit_packing, op4_quality_rules, op5_sharding, op9_benchmark_decontamination, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_sharding": OP5_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_sharding": OP5_SQL}
