@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +74,13 @@ def with_columns_kept(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; a missing one becomes null, so that extra or missing columns do no harm."""
     have = set(df.columns)
     return df.select(*[F.col(f"`{n}`") if n in have else F.lit(None).alias(n) for n in names])
+
+
+def stacked(names: list[str], parts: list[tuple]) -> pd.DataFrame:
+    """One frame from parts, each a tuple of a column each, of which all but one or more may be scalars."""
+    columns: dict[str, list] = {n: [] for n in names}
+    for part in parts:
+        size = next(len(x) for x in part if isinstance(x, (np.ndarray, list)))
+        for n, x in zip(names, part):
+            columns[n].append(x if isinstance(x, np.ndarray) else np.fromiter(x if isinstance(x, list) else (x for _ in range(size)), object, size))
+    return pd.DataFrame({n: np.concatenate(x) if x else np.empty(0, object) for n, x in columns.items()})

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize, read_table, window_hashes, with_columns_kept
+from tessella.llm.common import materialize, read_table, stacked, window_hashes, with_columns_kept
 
 WINDOW = 5
 SIMILARITY = 0.8
@@ -110,8 +110,8 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             parts = []
             for item_id, text in zip(batch["item_id"], batch["text"]):
                 h = windows(reader.read(text)[0]) if isinstance(text, str) else np.empty(0, np.uint64)
-                parts.append(pd.DataFrame({"item_id": item_id, "hash": h.view(np.int64), "at": np.arange(len(h)), "n_windows": len(h)}))
-            yield pd.concat(parts) if parts else pd.DataFrame({"item_id": [], "hash": [], "at": [], "n_windows": []})
+                parts.append((item_id, h.view(np.int64), np.arange(len(h)), len(h)))
+            yield stacked(["item_id", "hash", "at", "n_windows"], parts)
 
     return benchmark.mapInPandas(run, f"item_id {dict(benchmark.dtypes)['item_id']}, hash long, at int, n_windows int")
 
@@ -133,8 +133,8 @@ def document_windows(docs: DataFrame, wanted: np.ndarray | None, short: list[int
                         at = np.flatnonzero(wanted[k] == h)
                         h = h[at]
                     if len(h):
-                        parts.append(pd.DataFrame({"doc_id": doc_id, "row": row, "hash": h.view(np.int64), "at": at}))
-            yield pd.concat(parts) if parts else pd.DataFrame({"doc_id": [], "row": [], "hash": [], "at": []})
+                        parts.append((doc_id, row, h.view(np.int64), at))
+            yield stacked(["doc_id", "row", "hash", "at"], parts)
 
     kind = dict(docs.dtypes)
     return docs.mapInPandas(run, f"doc_id {kind['doc_id']}, row long, hash long, at int")

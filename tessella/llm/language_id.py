@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize, mix64, read_table, with_columns_kept
+from tessella.llm.common import materialize, mix64, read_table, stacked, with_columns_kept
 
 WORD = re.compile(r"[^\W\d_]+").findall
 CHUNK = 40
@@ -165,9 +165,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
         own: dict[str, Counter] = {}
 
         def rows() -> pd.DataFrame:
-            parts = [pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())}) for lang, c in own.items() if c]
+            parts = [(lang, list(c), list(c.values())) for lang, c in own.items() if c]
             own.clear()
-            return pd.concat(parts) if parts else pd.DataFrame({"lang": [], "word": [], "n": []})
+            return stacked(["lang", "word", "n"], parts)
 
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"]):
