@@ -84,3 +84,19 @@ def stacked(names: list[str], parts: list[tuple]) -> pd.DataFrame:
         for n, x in zip(names, part):
             columns[n].append(x if isinstance(x, np.ndarray) else np.fromiter(x if isinstance(x, list) else (x for _ in range(size)), object, size))
     return pd.DataFrame({n: np.concatenate(x) if x else np.empty(0, object) for n, x in columns.items()})
+
+
+#: Rows of a table of ids, 16 bytes each at most, that may be sent to every task.
+SENT_ROWS = 2_000_000
+
+
+def sized(ids: DataFrame, tag: str) -> DataFrame:
+    """A table of ids, written once, to be broadcast in a join if it is known to be small; else it is joined by a shuffle."""
+    written, _ = materialize(ids, tag)
+    return F.broadcast(written) if written.count() <= SENT_ROWS else written
+
+
+def ids_as_text(df: DataFrame, name: str = "doc_id") -> tuple[DataFrame, str]:
+    """The id as text, since pandas would turn integers among nulls to floats; and its type, to turn it back."""
+    kind = dict(df.dtypes)[name]
+    return df.withColumn(name, F.col(name).cast("string")), "bigint" if kind == "void" else kind

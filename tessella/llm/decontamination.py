@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize, read_table, stacked, window_hashes, with_columns_kept
+from tessella.llm.common import ids_as_text, materialize, read_table, sized, stacked, window_hashes, with_columns_kept
 
 WINDOW = 5
 SIMILARITY = 0.8
@@ -113,7 +113,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                 parts.append((item_id, h.view(np.int64), np.arange(len(h)), len(h)))
             yield stacked(["item_id", "hash", "at", "n_windows"], parts)
 
-    return benchmark.mapInPandas(run, f"item_id {dict(benchmark.dtypes)['item_id']}, hash long, at int, n_windows int")
+    return benchmark.mapInPandas(run, "item_id string, hash long, at int, n_windows int")
 
 
 def document_windows(docs: DataFrame, wanted: np.ndarray | None, short: list[int]) -> DataFrame:
@@ -136,8 +136,7 @@ def document_windows(docs: DataFrame, wanted: np.ndarray | None, short: list[int
                         parts.append((doc_id, row, h.view(np.int64), at))
             yield stacked(["doc_id", "row", "hash", "at"], parts)
 
-    kind = dict(docs.dtypes)
-    return docs.mapInPandas(run, f"doc_id {kind['doc_id']}, row long, hash long, at int")
+    return docs.mapInPandas(run, "doc_id string, row long, hash long, at int")
 
 
 def aligned(shifts: list[int], ats: list[int], n_windows: int) -> tuple[int, int]:
@@ -186,13 +185,12 @@ def verified(hits: DataFrame) -> DataFrame:
                     rows.append((r.doc_id, r.item_id, n, r.n_windows, n / r.n_windows, slots))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_matched", "n_windows", "similarity", "n_slots"])
 
-    kind = dict(hits.dtypes)
-    return hits.mapInPandas(run, f"doc_id {kind['doc_id']}, item_id {kind['item_id']}, n_matched int, n_windows int, similarity double, n_slots int")
+    return hits.mapInPandas(run, "doc_id string, item_id string, n_matched int, n_windows int, similarity double, n_slots int")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_matched, n_windows, similarity, n_slots of each item that leaked into a document."""
-    items = with_columns_kept(benchmark, "item_id", "text")
+    items, item_kind = ids_as_text(with_columns_kept(benchmark, "item_id", "text"), "item_id")
     own, _ = materialize(item_windows(items), "benchmark-windows")
     n, least = own.agg(F.count(F.lit(1)), F.count_if(F.col("n_windows") == 1)).first()
     short: list[int] = []
@@ -204,7 +202,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         wanted = np.sort(own.select("hash").distinct().toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
         if not len(wanted):
             wanted = np.asarray([0], np.uint64)
-    rows = with_columns_kept(docs, "doc_id", "text").select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    kept, doc_kind = ids_as_text(with_columns_kept(docs, "doc_id", "text"))
+    rows = kept.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     found = document_windows(rows, wanted, short)
     met = found.join(own, "hash").groupBy("doc_id", "row", "item_id", "n_windows").agg(F.collect_set(F.struct((found.at - own.at).alias("shift"), own.at.alias("at"))).alias("matches"))
     met = met.where(F.size(F.array_distinct(F.transform("matches", lambda m: m["at"]))) >= SIMILARITY * F.col("n_windows"))
@@ -212,12 +211,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = rows.join(hits.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"]).select("row", F.col("text").alias("doc_text"))
     full = hits.join(texts, "row").join(items.select("item_id", F.col("text").alias("item_text")).dropDuplicates(["item_id"]), "item_id")
     best = F.max(F.struct("similarity", "n_matched", "n_windows", "n_slots")).alias("best")
-    return verified(full.select("doc_id", "item_id", "n_windows", "matches", "doc_text", "item_text")).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_matched", "best.n_windows", "best.similarity", "best.n_slots")
+    return verified(full.select("doc_id", "item_id", "n_windows", "matches", "doc_text", "item_text")).groupBy("doc_id", "item_id").agg(best).select(F.col("doc_id").cast(doc_kind).alias("doc_id"), F.col("item_id").cast(item_kind).alias("item_id"), "best.n_matched", "best.n_windows", "best.similarity", "best.n_slots")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents into which no item leaked."""
-    found = leaks(docs, benchmark).select("doc_id").distinct().withColumnRenamed("doc_id", "leaked")
+    found = sized(leaks(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
     return docs.join(found, docs["doc_id"].eqNullSafe(found["leaked"]), "left_anti")
 
 

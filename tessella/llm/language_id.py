@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize, mix64, read_table, stacked, with_columns_kept
+from tessella.llm.common import ids_as_text, materialize, mix64, read_table, stacked, with_columns_kept
 
 WORD = re.compile(r"[^\W\d_]+").findall
 CHUNK = 40
@@ -253,8 +253,8 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray | None, vocab_p
                 score.append(float(like.max() / like.sum()))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": held, "lang_pred": pred, "score": score})
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "held_out", "text").mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    rows, kind = ids_as_text(docs.select("doc_id", "held_out", "text"))
+    return rows.mapInPandas(run, "doc_id string, held_out boolean, lang_pred string, score double").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def identify(docs: DataFrame, vocab_path: str | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import discard, materialize, read_table, with_columns_kept
+from tessella.llm.common import discard, ids_as_text, materialize, read_table, with_columns_kept
 from tessella.llm.token_counts import encoding
 
 #: Token after each document.
@@ -58,12 +58,10 @@ def tokenized_pieces(docs: DataFrame, capacity: int, tokenizer: str | None = Non
                 for k, (start, length) in enumerate(cut_points(len(raw), capacity)):
                     rows.append((pid, doc_id, k, start, length, zlib.crc32(raw[start : start + length].tobytes())))
                     pid += 1
-            out = pd.DataFrame(rows, columns=["pid", "doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype(object).where(out["doc_id"].notna(), None)
-            yield out
+            yield pd.DataFrame(rows, columns=["pid", "doc_id", "piece", "start", "length", "ids_crc32"])
 
-    kept = with_columns_kept(docs, "doc_id", "text")
-    return kept.mapInPandas(run, f"pid long, doc_id {dict(kept.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
+    kept, kind = ids_as_text(with_columns_kept(docs, "doc_id", "text"))
+    return kept.mapInPandas(run, "pid long, doc_id string, piece int, start long, length long, ids_crc32 long").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 class Deme:

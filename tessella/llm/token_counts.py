@@ -22,8 +22,9 @@ import pandas as pd
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm.common import read_table, with_columns_kept
+from tessella.llm.common import ids_as_text, read_table, with_columns_kept
 
 SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50256
@@ -170,9 +171,9 @@ def count_tokens(docs: DataFrame, limit: int = 1024, tokenizer: str | None = Non
                 rows.append((len(text.encode()), n, n > limit, fits(table, limit) if n > limit else len(text)))
             yield pd.DataFrame({"doc_id": batch["doc_id"]}).assign(**dict(zip(("n_bytes", "n_tokens", "over_limit", "fit_chars"), zip(*rows) if rows else ([],) * 4)))
 
-    kept = with_columns_kept(docs, "doc_id", "text")
-    kind = dict(kept.dtypes)["doc_id"]
-    return kept.mapInPandas(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    kept, kind = ids_as_text(with_columns_kept(docs, "doc_id", "text"))
+    out = kept.mapInPandas(run, "doc_id string, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
