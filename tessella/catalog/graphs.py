@@ -121,10 +121,10 @@ def order_chains(spark: SparkSession, d: str) -> DataFrame:
 
 ORDER_CHAINS = """
 WITH RECURSIVE e AS (SELECT src, dst FROM (SELECT o_orderkey AS src, CASE WHEN o_orderkey > 8 THEN o_orderkey // 2 WHEN o_orderkey = 5 THEN 7 WHEN o_orderkey = 7 THEN 5 END AS dst FROM orders WHERE o_orderkey <= 4000) WHERE dst IS NOT NULL),
-w(src, at, path, loop) AS (
+w(src, here, path, looped) AS (
   SELECT src, dst, [src, dst], src = dst FROM e
-  UNION ALL SELECT w.src, e.dst, list_append(w.path, e.dst), list_contains(w.path, e.dst) FROM w JOIN e ON e.src = w.at WHERE NOT w.loop AND len(w.path) <= 20)
-SELECT src, CASE WHEN bool_or(loop) THEN 'loop' ELSE 'end' END AS state, CAST(max(len(path)) - 1 AS BIGINT) AS steps FROM w GROUP BY src
+  UNION ALL SELECT w.src, e.dst, list_append(w.path, e.dst), list_contains(w.path, e.dst) FROM w JOIN e ON e.src = w.here WHERE NOT w.looped AND len(w.path) <= 20)
+SELECT src, CASE WHEN bool_or(looped) THEN 'loop' ELSE 'end' END AS state, CAST(max(len(path)) - 1 AS BIGINT) AS steps FROM w GROUP BY src
 """
 
 
@@ -136,9 +136,9 @@ def cycles(spark: SparkSession, d: str) -> DataFrame:
 
 CYCLES = """
 WITH RECURSIVE e AS (SELECT CAST(n_nationkey AS BIGINT) AS src, CAST((n_nationkey * n_nationkey + 3) % 25 AS BIGINT) AS dst FROM nation),
-w(src, at, steps) AS (SELECT src, dst, 1 FROM e UNION ALL SELECT w.src, e.dst, w.steps + 1 FROM w JOIN e ON e.src = w.at WHERE w.steps < 30),
-on_cycle AS (SELECT DISTINCT src AS node FROM w WHERE at = src)
-SELECT o.node, least(o.node, min(w.at)) AS loop FROM on_cycle o JOIN w ON w.src = o.node GROUP BY o.node
+w(src, here, steps) AS (SELECT src, dst, 1 FROM e UNION ALL SELECT w.src, e.dst, w.steps + 1 FROM w JOIN e ON e.src = w.here WHERE w.steps < 30),
+on_cycle AS (SELECT DISTINCT src AS node FROM w WHERE here = src)
+SELECT o.node, least(o.node, min(w.here)) AS "loop" FROM on_cycle o JOIN w ON w.src = o.node GROUP BY o.node
 """
 
 
@@ -151,10 +151,10 @@ def components(spark: SparkSession, d: str) -> DataFrame:
 
 
 COMPONENTS = """
-WITH RECURSIVE up(node, at) AS (
+WITH RECURSIVE up(node, here) AS (
   SELECT s_suppkey, s_suppkey FROM supplier
-  UNION ALL SELECT u.node, u.at // 2 FROM up u JOIN supplier s ON s.s_suppkey = u.at // 2 WHERE u.at % 2 = 0 AND u.at > 1),
-r AS (SELECT node, min(at) AS component FROM up GROUP BY node), n AS (SELECT component FROM r GROUP BY component HAVING count(*) > 1)
+  UNION ALL SELECT u.node, u.here // 2 FROM up u JOIN supplier s ON s.s_suppkey = u.here // 2 WHERE u.here % 2 = 0 AND u.here > 1),
+r AS (SELECT node, min(here) AS component FROM up GROUP BY node), n AS (SELECT component FROM r GROUP BY component HAVING count(*) > 1)
 SELECT node, component FROM r WHERE component IN (SELECT component FROM n)
 """
 

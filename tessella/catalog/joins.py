@@ -144,9 +144,9 @@ def aligned_days(spark: SparkSession, d: str) -> DataFrame:
 
 ALIGNED = """
 WITH e AS (SELECT CAST(max(ts) AS DATE) AS last FROM events), w AS (SELECT last, CAST(last - INTERVAL 1 MONTH + INTERVAL 1 DAY AS DATE) AS start FROM e),
-days AS (SELECT range AS at, w.start + CAST(range AS INTEGER) AS day, w.start - CAST(w.last - w.start + 1 AS INTEGER) + CAST(range AS INTEGER) AS day2 FROM w, range(0, 31) WHERE range <= w.last - w.start),
+days AS (SELECT range AS k, w.start + CAST(range AS INTEGER) AS day, w.start - CAST(w.last - w.start + 1 AS INTEGER) + CAST(range AS INTEGER) AS day2 FROM w, range(0, 31) WHERE range <= w.last - w.start),
 n AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1)
-SELECT CAST(at AS INTEGER) AS at, coalesce(a.n, 0) AS now, coalesce(b.n, 0) AS before FROM days LEFT JOIN n a ON days.day = a.day LEFT JOIN n b ON days.day2 = b.day
+SELECT CAST(k AS INTEGER) AS "at", coalesce(a.n, 0) AS now, coalesce(b.n, 0) AS before FROM days LEFT JOIN n a ON days.day = a.day LEFT JOIN n b ON days.day2 = b.day
 """
 
 

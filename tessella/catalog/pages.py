@@ -57,7 +57,7 @@ URL_PATTERNS = f"""
 WITH {PARTS},
 named AS (
   SELECT page_id, scheme || '://' || regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) ||
-    array_to_string(list_transform(string_split(path, '/'), s -> CASE WHEN regexp_matches(s, '^(\\d+|\\d{{4}}-\\d{{2}}-\\d{{2}})$') THEN '*' WHEN regexp_matches(s, '^[\\w-]{{9,}}$') AND s <> string_split(path, '/')[2] THEN '*' ELSE s END), '/') AS pattern FROM parts),
+    array_to_string(list_transform(string_split(path, '/'), lambda s: CASE WHEN regexp_matches(s, '^(\\d+|\\d{{4}}-\\d{{2}}-\\d{{2}})$') THEN '*' WHEN regexp_matches(s, '^[\\w-]{{9,}}$') AND s <> string_split(path, '/')[2] THEN '*' ELSE s END), '/') AS pattern FROM parts),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY page_id) AS k, count(*) OVER (PARTITION BY pattern) AS n FROM named)
 SELECT pattern, page_id, n FROM ranked WHERE k <= 2
 """
@@ -69,8 +69,8 @@ def parameters(spark: SparkSession, d: str) -> DataFrame:
 
 PARAMETERS = f"""
 WITH {PARTS},
-named AS (SELECT page_id, list_transform(list_filter(string_split(query, '&'), p -> regexp_matches(p, '^[^=]+=.+')), p -> regexp_extract(p, '^([^=]*)', 1)) AS names, query, path FROM parts)
-SELECT page_id, array_to_string(names, ',') AS names, array_to_string(list_filter(names, p -> regexp_matches(p, '^(utm_[a-z_]+|gclid|fbclid)$')), ',') AS tracking,
+named AS (SELECT page_id, list_transform(list_filter(string_split(query, '&'), lambda p: regexp_matches(p, '^[^=]+=.+')), lambda p: regexp_extract(p, '^([^=]*)', 1)) AS names, query, path FROM parts)
+SELECT page_id, array_to_string(names, ',') AS names, array_to_string(list_filter(names, lambda p: regexp_matches(p, '^(utm_[a-z_]+|gclid|fbclid)$')), ',') AS tracking,
        TRY_CAST(nullif(regexp_extract(query, '(?:^|&)page=(\\d+)', 1), '') AS BIGINT) AS page_number
 FROM named
 """
@@ -98,7 +98,7 @@ URL_FINDINGS = f"""
 WITH {PARTS},
 first AS (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url),
 own AS (SELECT p.* FROM parts p JOIN first f ON p.page_id = f.page_id),
-named AS (SELECT *, list_filter(string_split(path, '/'), s -> s <> '' AND NOT regexp_matches(s, '^\\d+$')) AS segments FROM own)
+named AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '' AND NOT regexp_matches(s, '^\\d+$')) AS segments FROM own)
 SELECT 'URL_TOO_LONG' AS "check", 'notice' AS severity, url AS target_url FROM own WHERE length(url) > 115
 UNION ALL SELECT 'URL_HAS_PARAMS', 'notice', url FROM own WHERE contains(url, '?')
 UNION ALL SELECT 'URL_NON_ASCII', 'notice', url FROM own WHERE regexp_matches(path, '[^\\x00-\\x7F]')
@@ -186,9 +186,9 @@ WITH found AS ({URL_FINDINGS}),
 before_urls AS (SELECT DISTINCT url FROM pages WHERE page_id % 7 <> 0), after_urls AS (SELECT DISTINCT url FROM pages WHERE page_id % 5 <> 0),
 b AS (SELECT DISTINCT "check", target_url FROM found WHERE target_url IN (SELECT url FROM before_urls)),
 a AS (SELECT DISTINCT "check", target_url FROM found WHERE target_url IN (SELECT url FROM after_urls) AND NOT ("check" = 'HTTP_URL' AND length(target_url) % 3 = 0)),
-both AS (SELECT coalesce(b."check", a."check") AS "check", coalesce(b.target_url, a.target_url) AS target_url, b."check" IS NOT NULL AS was, a."check" IS NOT NULL AS now FROM b FULL OUTER JOIN a ON b."check" = a."check" AND b.target_url = a.target_url)
+joint AS (SELECT coalesce(b."check", a."check") AS "check", coalesce(b.target_url, a.target_url) AS target_url, b."check" IS NOT NULL AS was, a."check" IS NOT NULL AS now FROM b FULL OUTER JOIN a ON b."check" = a."check" AND b.target_url = a.target_url)
 SELECT "check", target_url, CASE WHEN was AND now THEN 'persisted' WHEN NOT was THEN CASE WHEN target_url IN (SELECT url FROM before_urls) THEN 'appeared' ELSE 'entered' END ELSE CASE WHEN target_url IN (SELECT url FROM after_urls) THEN 'disappeared' ELSE 'left' END END AS change
-FROM both
+FROM joint
 """
 
 SEGMENTS = [

@@ -7,6 +7,8 @@ fails, keeps case, and tells an absent part from an empty one only where that ma
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ COMPOUND = ("com", "net", "org", "co", "gov", "edu", "ac", "spb", "msk")
 TRACKING = r"(?i)^(?:utm_[a-z_]+|gcl(?:id|src)|fbclid|msclkid|yclid|dclid|w?braid|_hs(?:enc|mi)|mc_[ce]id|pk_(?:campaign|kwd|source|medium|content)|vero_(?:id|conv)|trksid?|cmpid|mbid)$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it; keeps nested expressions small."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def stripped(s: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
@@ -28,6 +35,11 @@ def part(url: Column, k: int) -> Column:
     return F.regexp_extract(url, GRAMMAR, k)
 
 
+def split(url: Column) -> Column:
+    """scheme (folded), netloc, path, query, fragment; '' for what is absent."""
+    return F.struct(F.lower(part(url, 1)).alias("scheme"), part(url, 2).alias("netloc"), part(url, 3).alias("path"), part(url, 4).alias("query"), part(url, 5).alias("fragment"))
+
+
 def scheme(url: Column) -> Column:
     return F.lower(part(url, 1))
 
@@ -48,22 +60,30 @@ def fragment(url: Column) -> Column:
     return part(url, 5)
 
 
-def userinfo(url: Column) -> Column:
-    return F.regexp_extract(netloc(url), r"^(.*)@", 1)
+def host_of(where: Column) -> Column:
+    bare = F.regexp_replace(where, r"^.*@", "")
+    return F.lower(F.when(bare.startswith("["), F.regexp_extract(bare, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(bare, r":.*$", "")))
+
+
+def port_of(where: Column) -> Column:
+    return F.nullif(F.regexp_extract(where, r":(\d{1,5})$", 1), F.lit("")).try_cast("int")
 
 
 def host(url: Column) -> Column:
     """Lower-case, without user and port; brackets of an IPv6 address dropped."""
-    bare = F.regexp_replace(netloc(url), r"^.*@", "")
-    return F.lower(F.when(bare.startswith("["), F.regexp_extract(bare, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(bare, r":.*$", "")))
+    return let(netloc(url), host_of)
 
 
 def port(url: Column) -> Column:
-    return F.try_to_number(F.nullif(F.regexp_extract(netloc(url), r":(\d{1,5})$", 1), F.lit("")), F.lit("99999")).cast("int")
+    return port_of(netloc(url))
+
+
+def default_port(scheme_: Column) -> Column:
+    return F.when(scheme_ == "https", 443).when(scheme_ == "http", 80)
 
 
 def effective_port(url: Column) -> Column:
-    return F.coalesce(port(url), F.when(scheme(url) == "https", 443).when(scheme(url) == "http", 80))
+    return F.coalesce(port(url), default_port(scheme(url)))
 
 
 def joined(scheme_: Column, netloc_: Column, path_: Column, query_: Column, fragment_: Column | None = None) -> Column:
@@ -82,24 +102,29 @@ def joined(scheme_: Column, netloc_: Column, path_: Column, query_: Column, frag
 
 def norm_url(url: Column) -> Column:
     """Key of checks and link graphs: scheme and host folded, all slashes at the path's end dropped; '' for null."""
-    u = stripped(F.coalesce(url, F.lit("")))
-    return F.when(u == "", "").otherwise(joined(scheme(u), F.lower(netloc(u)), F.regexp_replace(path(u), r"/+$", ""), query(u), fragment(u)))
+    return let(split(stripped(F.coalesce(url, F.lit("")))), lambda p: joined(p["scheme"], F.lower(p["netloc"]), F.regexp_replace(p["path"], r"/+$", ""), p["query"], p["fragment"]))
 
 
 def sitemap_key(url: Column) -> Column:
     """Key of sitemaps: host folded, default port and fragment dropped, slash at the end of a longer path too; null if not absolute."""
-    u = stripped(url)
-    keep_port = port(u).isNotNull() & ~(((scheme(u) == "https") & (port(u) == 443)) | ((scheme(u) == "http") & (port(u) == 80)))
-    where = F.concat(F.when(userinfo(u) != "", F.concat(userinfo(u), F.lit("@"))).otherwise(""), host(u), F.when(keep_port, F.concat(F.lit(":"), port(u).cast("string"))).otherwise(""))
-    trimmed = F.when(F.length(path(u)) > 1, F.regexp_replace(path(u), r"/+$", "")).otherwise(path(u))
-    return F.when((part(u, 1) != "") & (netloc(u) != ""), joined(scheme(u), where, trimmed, query(u)))
+
+    def key(p: Column) -> Column:
+        number = port_of(p["netloc"])
+        shown = F.when(number.isNotNull() & ~F.coalesce(number == default_port(p["scheme"]), F.lit(False)), F.concat(F.lit(":"), number.cast("string"))).otherwise("")
+        user = F.regexp_extract(p["netloc"], r"^(.*@)", 1)
+        trimmed = F.when(F.length(p["path"]) > 1, F.regexp_replace(p["path"], r"/+$", "")).otherwise(p["path"])
+        return F.when((p["scheme"] != "") & (p["netloc"] != ""), joined(p["scheme"], F.concat(user, host_of(p["netloc"]), shown), trimmed, p["query"]))
+
+    return let(split(stripped(url)), key)
 
 
 def join_key(url: Column, ignore_query: bool = False, ignore_scheme: bool = False, casefold_path: bool = False) -> Column:
     """Key of joins with external rows; null for what can't be keyed."""
     key = sitemap_key(url)
-    p = F.lower(path(key)) if casefold_path else path(key)
-    return F.when(key.isNotNull(), joined(F.lit("https") if ignore_scheme else scheme(key), netloc(key), p, F.lit("") if ignore_query else query(key)))
+    if not (ignore_query or ignore_scheme or casefold_path):
+        return key
+    loose = lambda p: joined(F.lit("https") if ignore_scheme else p["scheme"], p["netloc"], F.lower(p["path"]) if casefold_path else p["path"], F.lit("") if ignore_query else p["query"])
+    return let(key, lambda k: F.when(k.isNotNull(), let(split(k), loose)))
 
 
 def origin_of_key(key: Column) -> Column:
@@ -108,7 +133,7 @@ def origin_of_key(key: Column) -> Column:
 
 def crawl_key(url: Column) -> Column:
     """Identity of the crawler: fragment dropped, empty path '/', else as written."""
-    return joined(scheme(url), netloc(url), F.when(path(url) == "", "/").otherwise(path(url)), query(url))
+    return let(url, lambda u: joined(part(u, 1), part(u, 2), F.when(part(u, 3) == "", "/").otherwise(part(u, 3)), part(u, 4)))
 
 
 def same_page(a: Column, b: Column) -> Column:
@@ -117,7 +142,7 @@ def same_page(a: Column, b: Column) -> Column:
 
 def origin(url: Column) -> Column:
     """(scheme, host, effective port) as one value, for comparing origins."""
-    return F.struct(scheme(url).alias("scheme"), host(url).alias("host"), effective_port(url).alias("port"))
+    return let(split(url), lambda p: F.struct(p["scheme"].alias("scheme"), host_of(p["netloc"]).alias("host"), F.coalesce(port_of(p["netloc"]), default_port(p["scheme"])).alias("port")))
 
 
 def redirect_path(url: Column) -> Column:
@@ -132,10 +157,12 @@ SLUG_SEGMENT = r"(?U)^[\w-]{9,}$"
 
 def url_pattern(url: Column) -> Column:
     """The template a URL belongs to: segments that look like identifiers, or like slugs under a named parent, become '*'."""
-    segments = F.split(path(url), "/")
-    first_named = F.coalesce(F.array_min(F.filter(F.transform(segments, lambda s, i: F.when(s != "", i)), lambda i: i.isNotNull())), F.lit(0))
-    starred = F.transform(segments, lambda s, i: F.when((s != "") & (s.rlike(ID_SEGMENT) | ((i > first_named) & s.rlike(SLUG_SEGMENT))), F.lit("*")).otherwise(s))
-    return joined(scheme(url), netloc(url), F.array_join(starred, "/"), F.lit(""))
+
+    def starred(segments: Column) -> Column:
+        first_named = F.coalesce(F.array_min(F.filter(F.transform(segments, lambda s, i: F.when(s != "", i)), lambda i: i.isNotNull())), F.lit(0))
+        return let(first_named, lambda first: F.array_join(F.transform(segments, lambda s, i: F.when((s != "") & (s.rlike(ID_SEGMENT) | ((i > first) & s.rlike(SLUG_SEGMENT))), F.lit("*")).otherwise(s)), "/"))
+
+    return let(split(url), lambda p: joined(p["scheme"], p["netloc"], let(F.split(p["path"], "/"), starred), F.lit("")))
 
 
 def registrable_domain(name: Column) -> Column:
@@ -155,8 +182,7 @@ def strip_www(name: Column) -> Column:
 
 def decoded(text: Column) -> Column:
     """Percent escapes resolved; '+' stays, and what isn't an escape stays as it is."""
-    safe = F.regexp_replace(F.regexp_replace(text, r"\+", "%2B"), r"%(?![0-9A-Fa-f]{2})", "%25")
-    return F.coalesce(F.try_url_decode(safe), text)
+    return let(text, lambda t: F.coalesce(F.try_url_decode(F.regexp_replace(F.regexp_replace(t, r"\+", "%2B"), r"%(?![0-9A-Fa-f]{2})", "%25")), t))
 
 
 def decoded_path(url: Column) -> Column:
@@ -175,7 +201,7 @@ def tracking_parameters(url: Column) -> Column:
 
 def url_kind(url: Column) -> Column:
     """'folder' or 'finalUrl', by a dot in the last segment."""
-    leaf = F.element_at(F.filter(F.split(path(url), "/"), lambda s: s != ""), -1)
+    leaf = F.try_element_at(F.filter(F.split(path(url), "/"), lambda s: s != ""), F.lit(-1))
     absolute = (part(url, 1) != "") & (netloc(url) != "")
     return F.when(~absolute, "finalUrl").when(F.coalesce(leaf, F.lit("")).contains("."), "finalUrl").otherwise("folder")
 

@@ -59,7 +59,7 @@ def spend(rows: DataFrame) -> DataFrame:
     base = rows.select("source", "operation", day.alias("day"), "unit", F.when(F.col("measured"), F.col("amount")).alias("m"), F.when(~F.col("measured"), F.col("amount")).alias("u"))
     base.createOrReplaceTempView("spend_rows")
     return rows.sparkSession.sql(
-        """SELECT CASE grouping_id(source, operation, day) WHEN 3 THEN 'source' WHEN 5 THEN 'operation' ELSE 'day' END AS dimension,
+        """SELECT CASE WHEN grouping(source) = 0 THEN 'source' WHEN grouping(operation) = 0 THEN 'operation' ELSE 'day' END AS dimension,
                   coalesce(source, operation, day) AS value, unit, coalesce(sum(m), 0) AS measured, coalesce(sum(u), 0) AS uncertain
            FROM spend_rows GROUP BY GROUPING SETS ((source, unit), (operation, unit), (day, unit))"""
     )

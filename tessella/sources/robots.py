@@ -72,7 +72,7 @@ def allowed(pages: DataFrame, agent_rules: DataFrame, url: str = "url") -> DataF
     u = F.col(url)
     path = F.concat(F.when(urls.path(u) == "", "/").otherwise(urls.path(u)), F.when(urls.query(u) != "", F.concat(F.lit("?"), urls.query(u))).otherwise(""))
     listed = agent_rules.where("pattern is not null").agg(F.collect_list(F.struct(F.length("pattern").alias("n"), "allow", regex_of(F.col("pattern")).alias("regex"))).alias("rules"))
-    best = F.array_max(F.transform(F.filter("rules", lambda r: F.expr("match_path").rlike(r["regex"])), lambda r: F.struct(r["n"], r["allow"])))
+    best = F.array_max(F.transform(F.filter("rules", lambda r: F.rlike(F.col("match_path"), r["regex"])), lambda r: F.struct(r["n"], r["allow"])))
     return pages.withColumn("match_path", path).crossJoin(F.broadcast(listed)).withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("rules", "match_path")
 
 
