@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -10,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASK64 = (1 << 64) - 1
+#: Rows and bytes of a batch that goes to a Python worker.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,7 @@ def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -46,17 +49,24 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit finalizer (multiply and xor-shift), element by element."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
+def mixed(x: np.ndarray) -> np.ndarray:
+    """mix64 in place."""
+    y = x >> np.uint64(30)
+    x ^= y
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
+    np.right_shift(x, np.uint64(27), out=y)
+    x ^= y
     x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    np.right_shift(x, np.uint64(31), out=y)
+    x ^= y
     return x
 
 
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A bijective 64-bit finalizer (multiply and xor-shift), element by element."""
+    return mixed(x.astype(np.uint64, copy=True))
+
+
 def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
     """64-bit hashes of every run of `width` consecutive 64-bit symbols (order counts)."""
     n = len(ids) - width + 1
@@ -66,12 +76,17 @@ def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
     for k in range(width):
         out *= np.uint64(0x9E3779B97F4A7C15)
         out += ids[k : k + n]
-        out = mix64(out)
+        mixed(out)
     return out
 
 
 def with_columns_kept(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns; a missing one becomes null, so that extra or missing columns do no harm."""
+    """Only the named columns; a missing one becomes null, so that extra or missing columns do no harm.
+
+    Also bounds what a Python worker is given at once, by rows and by bytes, since texts may be long.
+    """
+    for k, v in BATCHES.items():
+        df.sparkSession.conf.set(k, v)
     have = set(df.columns)
     return df.select(*[F.col(f"`{n}`") if n in have else F.lit(None).alias(n) for n in names])
 
@@ -100,3 +115,9 @@ def ids_as_text(df: DataFrame, name: str = "doc_id") -> tuple[DataFrame, str]:
     """The id as text, since pandas would turn integers among nulls to floats; and its type, to turn it back."""
     kind = dict(df.dtypes)[name]
     return df.withColumn(name, F.col(name).cast("string")), "bigint" if kind == "void" else kind
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that nothing refers to any more, which else waits for the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

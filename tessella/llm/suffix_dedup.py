@@ -165,13 +165,13 @@ def signed(x: int) -> int:
 
 
 def contexts(docs: DataFrame, length: int) -> DataFrame:
-    """tid (hash of the text), doc_id, h (anchor's hash), c (context's hash), p (anchor), lo, hi (starts relative to it)."""
+    """tid (hash of the text), h (anchor's hash), c (context's hash), p (anchor), lo, hi (starts relative to it)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             parts = []
-            for doc_id, tid, text in zip(batch["doc_id"], batch["tid"], batch["text"]):
+            for tid, text in zip(batch["tid"], batch["text"]):
                 data = text.encode("utf-8", "surrogatepass")
                 for base in range(0, max(1, len(data) - length + 1), PART):
                     part = data[base : base + PART + length - 1]
@@ -179,15 +179,15 @@ def contexts(docs: DataFrame, length: int) -> DataFrame:
                     if not len(p):
                         continue
                     c = [signed(digest(part[a : b + length], seed=(m - a))) for m, a, b in zip(p.tolist(), lo.tolist(), hi.tolist())]
-                    parts.append((doc_id, tid, h.view(np.int64), np.asarray(c, np.int64), p + base, lo - p, hi - p))
-            yield stacked(["doc_id", "tid", "h", "c", "p", "lo", "hi"], parts)
+                    parts.append((tid, h.view(np.int64), np.asarray(c, np.int64), p + base, lo - p, hi - p))
+            yield stacked(["tid", "h", "c", "p", "lo", "hi"], parts)
 
-    return docs.mapInPandas(run, "doc_id string, tid binary, h long, c long, p long, lo int, hi int")
+    return docs.select("tid", "text").mapInPandas(run, "tid binary, h long, c long, p long, lo int, hi int")
 
 
 def with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """h, c, lo, hi, data of the wanted contexts (h, c and where one occurs: rep)."""
-    asked = wanted.groupBy(F.col("rep.tid").alias("tid"), F.col("rep.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("h", "c", "rep.p", "rep.lo", "rep.hi")).alias("asked"))
+    asked = wanted.groupBy(F.col("rep.tid").alias("tid")).agg(F.collect_list(F.struct("h", "c", "rep.p", "rep.lo", "rep.hi")).alias("asked"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -197,8 +197,8 @@ def with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 rows += [(x["h"], x["c"], x["lo"], x["hi"], data[x["p"] + x["lo"] : x["p"] + x["hi"] + length]) for x in own]
             yield pd.DataFrame(rows, columns=["h", "c", "lo", "hi", "data"])
 
-    found = docs.alias("d").join(asked.alias("a"), (F.col("d.tid") == F.col("a.tid")) & F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")))
-    return found.select("d.text", "a.asked").mapInPandas(run, "h long, c long, lo int, hi int, data binary")
+    found = docs.select("tid", "text").join(asked, "tid").dropDuplicates(["tid"])
+    return found.select("text", "asked").mapInPandas(run, "h long, c long, lo int, hi int, data binary")
 
 
 def blocks(table: DataFrame, length: int, keep_data: bool) -> DataFrame:
@@ -333,10 +333,13 @@ def single_strings(rows: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_stretches(texts: DataFrame, length: int) -> DataFrame:
-    """texts: doc_id (string), tid, text; tid and the stretches of bytes to remove (overlapping, of each distinct text once)."""
+    """texts: tid, text; tid and the stretches of bytes to remove (overlapping, of each distinct text once)."""
     spark = texts.sparkSession
-    runs, _ = materialize(contexts(texts, length), "repeats-contexts")
-    rep = F.min(F.struct("tid", "doc_id", "p", "lo", "hi")).alias("rep")
+    every, every_path = materialize(contexts(texts, length), "repeats-contexts")
+    twice = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    runs, _ = materialize(every.join(twice, "h", "left_semi"), "repeats-anchored")
+    discard(spark, every_path)
+    rep = F.min(F.struct("tid", "p", "lo", "hi")).alias("rep")
     counted, _ = materialize(runs.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), rep), "repeats-counted")
     mixed = counted.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h")
     table, _ = materialize(with_bytes(texts, counted.join(mixed, "h", "left_semi"), length).dropDuplicates(["h", "c"]), "repeats-bytes")
