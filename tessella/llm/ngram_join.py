@@ -1,18 +1,19 @@
 """Exact n-gram Jaccard join, in tiles by size with hashed bitmap signatures.
 
-A document is the set of its distinct n-word shingles.  Documents with equal sets are one class from the
-start.  A class can only link to one of which it shares a shingle of its prefix: its first shingles in an
-order that all classes keep, as many as a link must have one of.  The order puts shingles of very many
-documents last and is random otherwise, so that what many documents share is seldom in a prefix.
+A document is the set of its distinct n-word shingles.  Documents with equal sets are one class from the start.  Sizes fall into bands so that a link never spans more
+than two neighbouring ones, and a link between sets of a band has at most so many shingles that only one side
+has.  With one part more than that, dealt by hash, the two sets agree in one part entirely.  Classes of a
+tile, which is a band together with a part's content, are therefore all that can link, and sharing a frequent
+passage is not enough to be in one.
 
-Classes with a common prefix shingle whose sizes lie in one of two neighbouring bands are a tile.  A pair
-within a tile is first bounded by size, then by bitmaps: bits that only one of the two has stand for at
-least as many shingles that the other lacks.  Only pairs within both bounds meet as sorted arrays.
+A pair within a tile is first bounded by size, then by bitmaps as wide as the sets are large: bits that only
+one of the two has stand for at least as many shingles that the other lacks.  Only pairs within both bounds
+meet as sorted arrays.
 
 Pairs are not listed group by group.  In each round a tile compares its classes with one pivot, linked
 classes grow into components, and tiles that lie within one component are done: a group of thousands of
-near copies takes about as many comparisons as it has members.  What a few rounds leave, classes of
-different components in one tile, is compared completely, so that no link between components is lost.
+near copies takes about as many comparisons as it has members.  What the rounds leave, classes of different
+components in one tile, is compared completely, so that no link between components is lost.
 
 Texts are lower-cased (A-Z) and split at ASCII white space.  A text of fewer words than n is one shingle;
 one without words, or null, has none and links with nothing.  Repeated rows are of one class.  Null doc_ids
@@ -22,7 +23,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,15 +36,32 @@ from pyspark.sql import functions as F
 from tessella.llm.common import discard, ids_as_text, materialize, mix64, read_table, window_hashes, with_columns_kept
 from tessella.operators.components import connected_components
 
-#: Share of the documents with which a shingle is frequent; at most mean shingles / FREQUENT are.
-FREQUENT = 0.002
-BITMAP_WORDS = 8
-ROUNDS = 3
+#: Bits of a bitmap at least and at most; in between the next power of two above four times the size.
+LEAST_BITS, MOST_BITS = 64, 1 << 18
+#: Keys of a class, the least of those still open, by which a pair is known to have met in an earlier tile.
+FIRST_KEYS = 32
+ROUNDS = 2
 WORD_CACHE = 400_000
-#: Ids of classes that are sent to all tasks to pick their arrays, 8 bytes each; more are joined by a shuffle.
+#: Pairs whose ids are sent to all tasks to pick texts and arrays, 16 bytes each; more are joined by a shuffle.
 SENT_IDS = 2_000_000
-#: Shingles that are counted together before those frequent among them are passed on.
-COUNTED = 2_000_000
+
+class Bands:
+    """Bands of sizes: whatever may link to a set of one band lies in it, in the next, or in the one before."""
+
+    def __init__(self, percent: int) -> None:
+        self.percent, self.edges = percent, [1]
+
+    def of(self, n: int) -> int:
+        e = self.edges
+        while e[-1] <= n:
+            e.append(max(e[-1] + 1, (e[-1] - 1) * 100 // self.percent + 1))
+        return bisect.bisect_right(e, n) - 1
+
+    def parts(self, band: int) -> int:
+        """One more than the shingles that a set of the band and a link of its own size or more can have on one side only."""
+        self.of(self.edges[-1] + 1) if len(self.edges) < band + 2 else None
+        most = self.edges[band + 1] - 1
+        return (100 - self.percent) * (most + 100 * most // self.percent) // (100 + self.percent) + 1
 
 
 class Shingler:
@@ -59,96 +77,97 @@ class Shingler:
         known = self.known
         if len(known) > WORD_CACHE:
             known.clear()
-        ids = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            ids.append(h)
-        ids = np.asarray(ids, np.uint64)
-        if len(ids) < self.n:
-            return window_hashes(ids, len(ids)) ^ np.uint64(len(ids))
-        return np.unique(window_hashes(ids, self.n))
+        ids = list(map(known.get, words))
+        if None in ids:
+            for w in words:
+                if w not in known:
+                    known[w] = xxhash.xxh3_64_intdigest(w)
+            ids = list(map(known.get, words))
+        hashes = np.asarray(ids, np.uint64)
+        if len(hashes) < self.n:
+            return window_hashes(hashes, len(hashes)) ^ np.uint64(len(hashes))
+        return np.unique(window_hashes(hashes, self.n))
+
+
+def set_hash(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that name the set."""
+    k = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return (k & (1 << 64) - 1) - (1 << 63), (k >> 64) - (1 << 63)
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    bits = np.zeros(64 * BITMAP_WORDS, np.uint8)
-    bits[(mix64(shingles) % np.uint64(64 * BITMAP_WORDS)).astype(np.int64)] = 1
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(shingles) - 1).bit_length()))
+    bits = np.zeros(width, np.uint8)
+    bits[(mix64(shingles) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.int64)
 
 
-def shingled(docs: DataFrame, n: int, numbered: bool) -> DataFrame:
-    """docs: doc_id, text, row (a unique number, if numbered).  A row for each document: uid, doc_id, n, k1, k2 (hash of the set), shingles (sorted, 8 bytes each); and rows with
-    null uid for shingles that are frequent in a task: k1 (the shingle), n (its documents there)."""
+def tile_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
+    """A key for each part of the set, for the tiles of its own band and, as the larger side, of the one before."""
+    own = bands.of(len(shingles))
+    mixed_ = mix64(shingles ^ np.uint64(0x5851F42D4C957F2D))
+    out = []
+    for band in {own, max(own - 1, 0)}:
+        parts = bands.parts(band)
+        at = (shingles % np.uint64(parts)).astype(np.int64)
+        sums = np.zeros(parts, np.uint64)
+        np.add.at(sums, at, mixed_)
+        filled = np.flatnonzero(np.bincount(at, minlength=parts))
+        out.append(mix64(sums[filled] + mix64(filled.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band))))
+        if len(filled) < parts:  # an empty part is content that sets can agree in, too
+            empty = np.setdiff1d(np.arange(parts), filled)
+            out.append(mix64(mix64(empty.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band))))
+    return np.concatenate(out).view(np.int64)
+
+
+def shingled(docs: DataFrame, n: int, percent: int, numbered: bool) -> DataFrame:
+    """docs: doc_id, text, th (hash of the text), row (a unique number, if numbered).  A row for each document: uid,
+    doc_id, th, n, k1, k2 (hash of the set), keys (of its tiles), bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle = Shingler(n)
+        shingle, bands = Shingler(n), Bands(percent)
         own_uid = TaskContext.get().partitionId() << 36
-        names = ["uid", "doc_id", "n", "k1", "k2", "shingles"]
-        waiting: list[np.ndarray] = []
-        size = 0
-
-        def frequent() -> pd.DataFrame:
-            found, count = np.unique(np.concatenate(waiting), return_counts=True)
-            often = count >= max(4, FREQUENT * len(waiting))
-            waiting.clear()
-            found, count = found[often].view(np.int64), count[often]
-            return pd.DataFrame({"uid": pd.Series([None] * len(found), dtype="Int64"), "doc_id": pd.Series([None] * len(found), dtype=object), "n": count, "k1": found, "k2": 0, "shingles": pd.Series([None] * len(found), dtype=object)})
-
+        nothing = np.empty(0, np.int64)
         for batch in batches:
             rows = []
-            for doc_id, given, text in zip(batch["doc_id"], batch["row"], batch["text"]):
+            for doc_id, given, th, text in zip(batch["doc_id"], batch["row"], batch["th"], batch["text"]):
                 own = shingle(text if isinstance(text, str) else None)
-                raw = own.tobytes()
-                k = xxhash.xxh3_128_intdigest(raw)
-                rows.append((int(given) if numbered else own_uid, doc_id, len(own), (k & (1 << 64) - 1) - (1 << 63), (k >> 64) - (1 << 63), raw))
+                rows.append((int(given) if numbered else own_uid, doc_id, int(th), len(own), *set_hash(own), *((tile_keys(own, bands), bitmap(own)) if len(own) else (nothing, nothing))))
                 own_uid += 1
-                waiting.append(own)
-                size += len(own)
-                if size > COUNTED:
-                    yield frequent()
-                    size = 0
-            yield pd.DataFrame(rows, columns=names)
-        if waiting:
-            yield frequent()
+            yield pd.DataFrame(rows, columns=["uid", "doc_id", "th", "n", "k1", "k2", "keys", "bits"])
 
     rows, kind = ids_as_text(docs)
-    return rows.mapInPandas(run, "uid long, doc_id string, n long, k1 long, k2 long, shingles binary").withColumn("doc_id", F.col("doc_id").cast(kind))
+    return rows.mapInPandas(run, "uid long, doc_id string, th long, n long, k1 long, k2 long, keys array<long>, bits array<long>").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def prefixed(reps: DataFrame, heavy: np.ndarray, percent: int) -> DataFrame:
-    """cid, n, prefix (hashes), bits: the classes with what tiles need."""
+def arrays_of(docs: DataFrame, n: int) -> DataFrame:
+    """k1, k2, shingles (sorted, 8 bytes each)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingle = Shingler(n)
         for batch in batches:
-            rows = []
-            for cid, raw in zip(batch["cid"], batch["shingles"]):
-                own = np.frombuffer(raw, np.uint64)
-                k = len(own) - -(-percent * len(own) // 100) + 1
-                last = np.zeros(len(own), bool)
-                if len(heavy):
-                    at = np.minimum(np.searchsorted(heavy, own), len(heavy) - 1)
-                    last = heavy[at] == own
-                order = np.concatenate([own[~last][:k], own[last][: max(0, k - int((~last).sum()))]])
-                rows.append((cid, len(own), order.view(np.int64), bitmap(own)))
-            yield pd.DataFrame(rows, columns=["cid", "n", "prefix", "bits"])
+            own = [shingle(t) for t in batch["text"]]
+            yield pd.DataFrame([(*set_hash(x), x.tobytes()) for x in own], columns=["k1", "k2", "shingles"])
 
-    return reps.mapInPandas(run, "cid long, n long, prefix array<long>, bits array<long>")
+    return docs.select("text").mapInPandas(run, "k1 long, k2 long, shingles binary")
 
 
 def alike_in_size(a: Column, b: Column, percent: int) -> Column:
     return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
 
-def overlap_bound(a: str, b: str) -> Column:
-    """At most so many shingles in common, by the bits that only one side has."""
-    left = sum((F.bit_count(F.col(f"{a}.bits")[k].bitwiseAND(F.bitwise_not(F.col(f"{b}.bits")[k]))) for k in range(BITMAP_WORDS)), F.lit(0))
-    right = sum((F.bit_count(F.col(f"{b}.bits")[k].bitwiseAND(F.bitwise_not(F.col(f"{a}.bits")[k]))) for k in range(BITMAP_WORDS)), F.lit(0))
-    return F.least(F.col(f"{a}.n") - left, F.col(f"{b}.n") - right)
+def folded(bits: str, other: str) -> Column:
+    """The bitmap at the width of the narrower of the two; sizes of a pair differ by less than a factor of two."""
+    n = F.size(bits)
+    half = (n / 2).cast("int")
+    return F.when(n <= F.size(other), F.col(bits)).otherwise(F.zip_with(F.slice(bits, 1, half), F.slice(bits, half + 1, half), lambda a, b: a.bitwiseOR(b)))
 
 
 def within_bound(percent: int, a: str = "x", b: str = "y") -> Column:
-    most = overlap_bound(a, b)
+    """Whether the bits that only one side has leave enough shingles in common."""
+    mine, theirs = folded(f"{a}.bits", f"{b}.bits"), folded(f"{b}.bits", f"{a}.bits")
+    only = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
+    most = F.least(F.col(f"{a}.n") - only(mine, theirs), F.col(f"{b}.n") - only(theirs, mine))
     return 100 * most >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n") - most)
 
 
@@ -158,39 +177,43 @@ class Join:
     def __init__(self, docs: DataFrame, n: int, percent: int, row: str | None = None) -> None:
         self.percent, self.spark = percent, docs.sparkSession
         kept = with_columns_kept(docs, "doc_id", "text", *([row] if row else [])).withColumn("row", F.col(row) if row else F.lit(0))
-        self.all, _ = materialize(shingled(kept.select("doc_id", "row", "text"), n, row is not None), "join-shingles")
-        self.members = self.all.where(F.col("uid").isNotNull()).select("doc_id", "n", "k1", "k2", "uid")
-        self.classes, _ = materialize(self.members.where("n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("low"), F.first("n").alias("n")), "join-classes")
-        self.arrays = self.all.where(F.col("uid").isNotNull()).select(F.col("uid").alias("cid"), "shingles")
+        self.n, self.docs = n, kept.select("doc_id", "row", "text", F.xxhash64("text").alias("th"))
+        self.all, _ = materialize(shingled(self.docs, n, percent, row is not None), "join-sets")
+        self.members = self.all.select("doc_id", "n", "k1", "k2", "uid", "th")
+        self.classes, _ = materialize(self.members.where("n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("low"), F.first("n").alias("n"), F.min("th").alias("th")), "join-classes")
+        self.signatures, _ = materialize(self.all.select(F.col("uid").alias("cid"), "n", "bits", "keys").join(self.classes.select("cid"), "cid", "left_semi"), "join-signatures")
         self.links: DataFrame | None = None
 
-    def heavy(self) -> np.ndarray:
-        n_docs = self.members.count()
-        often = self.all.where(F.col("uid").isNull()).groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= max(4, FREQUENT * n_docs))
-        return np.sort(often.select("k1").toPandas()["k1"].to_numpy(np.int64).view(np.uint64))
-
-    def tiles(self) -> DataFrame:
-        """s, band, cid, n: classes by prefix shingle and size band, only tiles of two classes or more."""
-        reps = self.arrays.join(self.classes.select("cid"), "cid", "left_semi")
-        prefixes, path = materialize(prefixed(reps, self.heavy(), self.percent), "join-prefixes")
-        self.signatures = prefixes.select("cid", "n", "bits")
-        width = math.log(100 / self.percent)
-        rows = prefixes.select("cid", "n", F.explode("prefix").alias("s"), F.floor(F.log("n") / width).alias("own"))
-        twice = rows.groupBy("s").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("s")
-        rows = rows.join(twice, "s", "left_semi").select("s", F.explode(F.array("own", F.col("own") + 1)).alias("band"), "cid", "n")
-        return materialize(rows, "join-tiles")[0]
+    def tiles(self) -> tuple[DataFrame, DataFrame]:
+        """a, b: the two classes of tiles of two; and key, cid, n: the classes of the tiles of more."""
+        rows = self.signatures.select("cid", "n", F.explode("keys").alias("key"))
+        counted = rows.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b")
+        counted, _ = materialize(counted, "join-counted")
+        large = counted.where("size > 2").select("key")
+        sent = F.broadcast if large.count() <= SENT_IDS else (lambda df: df)
+        more, _ = materialize(rows.join(sent(large), "key", "left_semi").select("key", "cid", "n"), "join-tiles")
+        return counted.where("size = 2").select("a", "b"), more
 
     def several(self, tiles: DataFrame) -> DataFrame:
         """Only the tiles with classes of several components."""
-        mixed = tiles.groupBy("s", "band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("s", "band")
-        return tiles.join(mixed, ["s", "band"], "left_semi")
+        mixed = tiles.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("key")
+        return tiles.join(mixed, "key", "left_semi")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """a, b of those pairs whose sets are similar enough, by merging their sorted arrays."""
+        """a, b of those pairs whose sets are similar enough, by merging their sorted arrays.
+
+        The arrays are made anew from the texts of the classes that are wanted, so that they needn't be kept for all.
+        """
         pairs, pairs_path = materialize(pairs, "join-pairs")
-        wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-        small = wanted.count() <= SENT_IDS
-        arrays, arrays_path = materialize(self.arrays.join(F.broadcast(wanted) if small else wanted, "cid", "left_semi"), "join-arrays")
+        n = pairs.count()
+        if not n:
+            return pairs
+        sent = F.broadcast if n <= SENT_IDS else (lambda df: df)
+        ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+        wanted, wanted_path = materialize(ids.join(self.classes, "cid").select("cid", "k1", "k2", "th"), "join-wanted")
+        texts = self.docs.join(sent(wanted.select("th").distinct()), "th", "left_semi")
+        arrays = arrays_of(texts, self.n).join(sent(wanted.select("k1", "k2", "cid")), ["k1", "k2"]).select("cid", "shingles").dropDuplicates(["cid"])
+        arrays, arrays_path = materialize(arrays, "join-arrays")
         percent = self.percent
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,16 +225,18 @@ class Join:
                     ok.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield batch.loc[ok, ["a", "b"]]
 
-        both = pairs.join(arrays.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(arrays.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
-        links, _ = materialize(both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "join-links")
-        discard(self.spark, pairs_path, arrays_path)
+        # Members' arrays move once, to their pivot's.
+        moved = arrays.join(sent(pairs), arrays.cid == F.col("b")).select("a", "b", F.col("shingles").alias("y"))
+        pivots = arrays.join(sent(pairs.select("a").distinct()), arrays.cid == F.col("a"), "left_semi").select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
+        links, _ = materialize(moved.join(pivots, "a").select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "join-links")
+        discard(self.spark, pairs_path, arrays_path, wanted_path)
         return links
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
-        """The distinct pairs that the bitmaps leave."""
+        """The distinct pairs that sizes and bitmaps leave."""
         x = self.signatures.select(F.col("cid").alias("a"), F.struct("n", "bits").alias("x"))
         y = self.signatures.select(F.col("cid").alias("b"), F.struct("n", "bits").alias("y"))
-        return pairs.distinct().join(x, "a").join(y, "b").where(within_bound(self.percent)).select("a", "b")
+        return pairs.distinct().join(x, "a").join(y, "b").where(alike_in_size(F.col("x.n"), F.col("y.n"), self.percent)).where(within_bound(self.percent)).select("a", "b")
 
     def grown(self, tiles: DataFrame, links: DataFrame) -> DataFrame:
         """The tiles with components that the links have joined."""
@@ -219,26 +244,32 @@ class Join:
             return tiles
         self.links = links if self.links is None else self.links.unionByName(links)
         comp = connected_components(self.links, cut=lambda df: materialize(df, "join-stars")[0]).select(F.col("node").alias("cid"), F.col("component").alias("new"))
-        return tiles.drop("comp").join(comp, "cid", "left").select("s", "band", "cid", "n", F.coalesce("new", "cid").alias("comp"))
+        return tiles.drop("comp").join(comp, "cid", "left").select("key", "cid", "n", F.coalesce("new", "cid").alias("comp"))
 
     def link(self) -> None:
-        tiles = self.tiles().withColumn("comp", F.col("cid"))
+        twos, tiles = self.tiles()
+        tiles = tiles.withColumn("comp", F.col("cid"))
         for turn in range(ROUNDS):
-            tiles, _ = materialize(self.several(tiles), "join-open")
-            if tiles.isEmpty():
-                return
+            if turn:
+                tiles, _ = materialize(self.several(tiles), "join-open")
+                if tiles.isEmpty():
+                    return
             # The least class first, so that copies meet the same one in most of their tiles; then others.
             order = F.col("cid") if turn == 0 else F.xxhash64("comp", F.lit(turn))
-            pivot = tiles.groupBy("s", "band").agg(F.min(F.struct(order.alias("order"), "cid", "n", "comp")).alias("p"))
-            pairs = tiles.join(pivot, ["s", "band"]).where((F.col("comp") != F.col("p.comp")) & alike_in_size(F.col("n"), F.col("p.n"), self.percent))
-            pairs = pairs.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b"))
-            tiles = self.grown(tiles, self.verify(self.bounded(pairs)))
+            pivot = tiles.groupBy("key").agg(F.min(F.struct(order.alias("order"), "cid", "comp")).alias("p"))
+            pairs = tiles.join(pivot, "key").where(F.col("comp") != F.col("p.comp")).select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b"))
+            tiles = self.grown(tiles, self.verify(self.bounded(pairs if turn else pairs.unionByName(twos))))
+        if not ROUNDS:
+            tiles = self.grown(tiles, self.verify(self.bounded(twos)))
         tiles, _ = materialize(self.several(tiles), "join-open")
         if tiles.isEmpty():
             return
-        full = tiles.join(self.signatures.select("cid", "bits"), "cid").select("s", "band", F.struct("cid", "n", "comp", "bits").alias("one"))
+        # A pair that meets in many tiles is passed on by the first of them: each class carries its first keys.
+        firsts = tiles.groupBy("cid").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_KEYS).alias("firsts"))
+        before = F.filter("firsts", lambda k: k < F.col("key"))
+        full = tiles.join(self.signatures.select("cid", "bits"), "cid").join(firsts, "cid").select("key", F.struct("cid", "n", "comp", "bits", before.alias("before")).alias("one"))
         left, right = full.withColumnRenamed("one", "x"), full.withColumnRenamed("one", "y")
-        met = left.join(right, ["s", "band"]).where((F.col("x.cid") < F.col("y.cid")) & (F.col("x.comp") != F.col("y.comp")) & alike_in_size(F.col("x.n"), F.col("y.n"), self.percent) & within_bound(self.percent))
+        met = left.join(right, "key").where((F.col("x.cid") < F.col("y.cid")) & (F.col("x.comp") != F.col("y.comp")) & ~F.arrays_overlap("x.before", "y.before") & alike_in_size(F.col("x.n"), F.col("y.n"), self.percent) & within_bound(self.percent))
         self.grown(tiles, self.verify(met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()))
 
     def result(self) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tessella.llm import ngram_join
@@ -67,8 +68,7 @@ def test_against_brute_force(spark, monkeypatch, rounds):
 
 
 def test_other_parameters_and_shuffled_ids(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "FREQUENT", 0.05)
-    monkeypatch.setattr(ngram_join, "COUNTED", 50)
+    monkeypatch.setattr(ngram_join, "LEAST_BITS", 4096)
     docs = corpus(11, 25)
     assert ran(spark, docs, 5, 80) == brute(docs, 5, 80)
 
@@ -77,3 +77,20 @@ def test_long_text_and_empty_table(spark):
     long = " ".join(f"w{k}" for k in range(60_000))
     assert ran(spark, [(2, long), (1, long + " more")]) == [(1, 59_999, 1), (2, 59_998, 1)]
     assert join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("percent", [80, 90, 95])
+def test_bands_and_parts_lose_no_link(percent):
+    bands = ngram_join.Bands(percent)
+    rng = np.random.default_rng(percent)
+    for n in range(1, 400):
+        assert bands.edges[bands.of(n)] <= n < bands.edges[bands.of(n) + 1]
+        assert bands.of(100 * n // percent) - bands.of(n) in (0, 1)
+    for _ in range(400):
+        n = int(rng.integers(1, 300))
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        out = int(rng.integers(0, max(1, n // 8) + 1))
+        y = np.unique(np.concatenate([x[out:], rng.integers(0, 2**63, int(rng.integers(0, max(1, n // 8) + 1)), dtype=np.uint64)]))
+        common = len(np.intersect1d(x, y))
+        if len(y) and 100 * common >= percent * (len(x) + len(y) - common):
+            assert np.intersect1d(ngram_join.tile_keys(x, bands), ngram_join.tile_keys(y, bands)).size
