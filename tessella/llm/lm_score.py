@@ -66,14 +66,15 @@ class Tokens:
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.int64)
-        known, out = self.known, []
+        known, words = self.known, text.split()
         if len(known) > WORD_CACHE:
             known.clear()
-        for w in text.split():
-            k = known.get(w)
-            if k is None:
-                k = known[w] = xxhash.xxh3_64_intdigest(w.lower()) % VOCABULARY
-            out.append(k)
+        out = list(map(known.get, words))
+        if None in out:
+            for w in words:
+                if w not in known:
+                    known[w] = xxhash.xxh3_64_intdigest(w.lower()) % VOCABULARY
+            out = list(map(known.get, words))
         return np.asarray(out, np.int64)
 
 
@@ -104,71 +105,96 @@ class Network:
         padded = np.concatenate([np.full(SIDE, PAD), ids, np.full(SIDE, PAD)])
         return np.stack([padded[k : k + len(ids)] for k in range(2 * SIDE + 1) if k != SIDE], axis=1)
 
-    @staticmethod
-    def log_softmax(x: np.ndarray) -> np.ndarray:
-        x = x - x.max(axis=1, keepdims=True)
-        return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
     def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         w = self.w
-        vectors = w["embedding"][around]
-        mixed = np.einsum("nkw,kw->nw", vectors, w["place"])
+        vectors = [w["embedding"][around[:, k]] for k in range(2 * SIDE)]
+        mixed = vectors[0] * w["place"][0]
+        for k in range(1, 2 * SIDE):
+            mixed += vectors[k] * w["place"][k]
         return vectors, mixed, np.tanh(mixed @ w["hidden"] + w["hidden_bias"])
 
     @staticmethod
     def by_cluster(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """An order of the rows by the target's cluster, and (cluster, low, high) in it."""
-        cluster = target // (VOCABULARY // CLUSTERS)
+        cluster = (target // (VOCABULARY // CLUSTERS)).astype(np.int16)
         order = np.argsort(cluster, kind="stable")
         edges = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
-        return order, [(c, int(a), int(b)) for c, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
+        return order, [(c, a, b) for c, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if a < b]
+
+    def logits(self, h: np.ndarray, cluster: np.ndarray, parts: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the clusters, and of the tokens within each row's cluster; rows in order of their clusters."""
+        w = self.w
+        inner = np.empty((len(h), VOCABULARY // CLUSTERS), np.float32)
+        for c, low, high in parts:
+            np.matmul(h[low:high], w["member"][c], out=inner[low:high])
+        inner += w["member_bias"][cluster]
+        return h @ w["cluster"] + w["cluster_bias"], inner
+
+    @staticmethod
+    def log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The log of the softmax at one place of each row; x is changed."""
+        x -= x.max(axis=1, keepdims=True)
+        own = x[np.arange(len(x)), at]
+        return own - np.log(np.exp(x, out=x).sum(axis=1))
+
+    @staticmethod
+    def error(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The softmax less one at one place of each row, in x itself."""
+        x -= x.max(axis=1, keepdims=True)
+        np.exp(x, out=x)
+        x /= x.sum(axis=1, keepdims=True)
+        x[np.arange(len(x)), at] -= 1
+        return x
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each target given its surroundings."""
-        w, size = self.w, VOCABULARY // CLUSTERS
-        h = self.forward(around)[2]
-        out = self.log_softmax(h @ w["cluster"] + w["cluster_bias"])[np.arange(len(target)), target // size]
+        size = VOCABULARY // CLUSTERS
         order, parts = self.by_cluster(target)
-        for c, low, high in parts:
-            rows = order[low:high]
-            out[rows] += self.log_softmax(h[rows] @ w["member"][c] + w["member_bias"][c])[np.arange(high - low), target[rows] % size]
+        wanted = target[order]
+        outer, inner = self.logits(self.forward(around[order])[2], wanted // size, parts)
+        out = np.empty(len(target), np.float32)
+        out[order] = self.log_share(outer, wanted // size) + self.log_share(inner, wanted % size)
         return out
 
+    def moved(self, name: str, g: np.ndarray, at: object = slice(None)) -> None:
+        """One step of Adagrad along a gradient, at some places of a weight."""
+        self.squares[name][at] += g * g
+        self.w[name][at] -= RATE * g / np.sqrt(self.squares[name][at])
+
     def learn(self, around: np.ndarray, target: np.ndarray) -> None:
-        """One step of Adagrad on the mean negative log-probability of the targets."""
-        w, size, n = self.w, VOCABULARY // CLUSTERS, len(target)
+        """One step on the mean negative log-probability of the targets."""
+        w, size, n = self.w, VOCABULARY // CLUSTERS, np.float32(len(target))
         if self.squares is None:
             self.squares = {k: np.full(v.shape, 1e-4, np.float32) for k, v in w.items()}
-        vectors, mixed, h = self.forward(around)
-        d = np.exp(self.log_softmax(h @ w["cluster"] + w["cluster_bias"]))
-        d[np.arange(n), target // size] -= 1
-        dh = d @ w["cluster"].T
-        steps = {"cluster": h.T @ d / n, "cluster_bias": d.sum(axis=0) / n}
         order, parts = self.by_cluster(target)
-        for c, low, high in parts:
-            rows = order[low:high]
-            own = h[rows]
-            d = np.exp(self.log_softmax(own @ w["member"][c] + w["member_bias"][c]))
-            d[np.arange(high - low), target[rows] % size] -= 1
-            dh[rows] += d @ w["member"][c].T
-            for name, g in (("member", own.T @ d / n), ("member_bias", d.sum(axis=0) / n)):
-                s = self.squares[name][c]
-                s += g * g
-                w[name][c] -= RATE * g / np.sqrt(s)
+        around, target = around[order], target[order]
+        vectors, mixed, h = self.forward(around)
+        outer, inner = self.logits(h, target // size, parts)
+        outer, inner = self.error(outer, target // size), self.error(inner, target % size)
+        outer /= n
+        inner /= n
+        dh = outer @ w["cluster"].T
+        members = np.empty((len(parts), HIDDEN, size), np.float32)
+        for k, (c, low, high) in enumerate(parts):
+            dh[low:high] += inner[low:high] @ w["member"][c].T
+            np.matmul(h[low:high].T, inner[low:high], out=members[k])
         dz = dh * (1 - h * h)
-        steps |= {"hidden": mixed.T @ dz / n, "hidden_bias": dz.sum(axis=0) / n}
         dmixed = dz @ w["hidden"].T
-        steps["place"] = np.einsum("nkw,nw->kw", vectors, dmixed) / n
-        touched, back = np.unique(around.ravel(), return_inverse=True)
-        spread = (dmixed[:, None, :] * w["place"][None] / n).reshape(-1, WIDTH)
-        order = np.argsort(back, kind="stable")
-        first = np.searchsorted(back[order], np.arange(len(touched)))
-        g = np.add.reduceat(spread[order], first, axis=0)
-        self.squares["embedding"][touched] += g * g
-        w["embedding"][touched] -= RATE * g / np.sqrt(self.squares["embedding"][touched])
-        for name, g in steps.items():
-            self.squares[name] += g * g
-            w[name] -= RATE * g / np.sqrt(self.squares[name])
+        places = np.stack([(v * dmixed).sum(axis=0) for v in vectors])
+        spread = np.concatenate([dmixed * w["place"][k] for k in range(2 * SIDE)])
+        slots = around.T.ravel().astype(np.int16)
+        ranked = np.argsort(slots, kind="stable")
+        ordered = slots[ranked]
+        first = np.concatenate([[0], np.flatnonzero(np.diff(ordered)) + 1])
+        self.moved("embedding", np.add.reduceat(spread[ranked], first, axis=0), ordered[first].astype(np.int64))
+        self.moved("place", places)
+        self.moved("hidden", mixed.T @ dz)
+        self.moved("hidden_bias", dz.sum(axis=0))
+        self.moved("cluster", h.T @ outer)
+        self.moved("cluster_bias", outer.sum(axis=0))
+        touched = slice(None) if len(parts) == CLUSTERS else np.asarray([c for c, _, _ in parts])
+        self.moved("member", members, touched)
+        self.moved("member_bias", np.add.reduceat(inner, [low for _, low, _ in parts], axis=0), touched)
 
 
 def train_round(docs: DataFrame, weights: np.ndarray, share: int, shares: int) -> np.ndarray:
