@@ -35,7 +35,9 @@ SMOOTHING = 0.05
 UNKNOWN = 1e-7
 #: More languages than this aren't languages; the table of pieces by languages would not be small.
 MAX_LANGUAGES = 1000
-WORD_CACHE = 300_000
+WORD_CACHE = 200_000
+#: Words whose lattices are held at once.
+LATTICE_WORDS = 8_000
 
 
 class Vocabulary:
@@ -189,8 +191,8 @@ def expectation(counts: DataFrame, table: np.ndarray | None, langs: list[str], v
         at = {lang: k for k, lang in enumerate(langs)}
         p_all = None if table is None else np.vstack([table, np.full((1, len(langs)), UNKNOWN)])
         for batch in batches:
-            for low in range(0, len(batch), 20_000):
-                part = batch.iloc[low : low + 20_000]
+            for low in range(0, len(batch), LATTICE_WORDS):
+                part = batch.iloc[low : low + LATTICE_WORDS]
                 lattice = Lattice(part["word"].tolist(), vocab)
                 lang = part["lang"].map(at).to_numpy(np.int64)[lattice.word_of]
                 p = np.where(lattice.piece == vocab.size, UNKNOWN, 1 / vocab.size) if p_all is None else p_all[lattice.piece, lang]
@@ -236,8 +238,8 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray | None, vocab_p
                 known, logs = {}, logs[:0]
                 fresh = list(dict.fromkeys(w for own in found for w in own))
             new = [logs]
-            for low in range(0, len(fresh), 20_000):
-                lattice = Lattice(fresh[low : low + 20_000], vocab)
+            for low in range(0, len(fresh), LATTICE_WORDS):
+                lattice = Lattice(fresh[low : low + LATTICE_WORDS], vocab)
                 new.append(np.log(lattice.totals(lattice.forward(p[lattice.piece]))))
             logs = np.vstack(new)
             known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
