@@ -71,13 +71,13 @@ class Templates:
         if len(self.known) > WORD_CACHE:
             self.__init__()
         known, rows = self.known, self.rows
-        ids = []
-        for w in words:
-            k = known.get(w)
-            if k is None:
-                k = known[w] = len(rows)
-                rows.append(canonical(w))
-            ids.append(k)
+        ids = list(map(known.get, words))
+        if None in ids:
+            for w in words:
+                if w not in known:
+                    known[w] = len(rows)
+                    rows.append(canonical(w))
+            ids = list(map(known.get, words))
         at = np.asarray(ids, np.int64)
         if not len(at):
             return np.empty(0, np.uint64), np.empty(0, np.uint64)
