@@ -153,7 +153,7 @@ class Reader(HTMLParser):
             self.styles[-1].append(data)
             return
         if "title" in tags and self.titles:
-            if "svg" not in tags:
+            if "svg" not in tags and "template" not in tags:
                 self.titles[-1][0].append(data)
             return
         region = self.stack[-1][2] if self.stack else ""

@@ -98,6 +98,7 @@ def test_bounded_event_sink(spark, tmp_path):
 
 def test_breaker_keeps_streaks_between_batches(spark, tmp_path):
     src = tmp_path / "fetches"
+    src.mkdir()
     events = spark.readStream.schema("host string, seq bigint, status int").option("maxFilesPerTrigger", 1).parquet(str(src))
     for k, rows in enumerate([[("h", 0, 500), ("g", 0, 200)], [("h", 1, 429), ("h", 2, None)]]):
         spark.createDataFrame(rows, "host string, seq bigint, status int").coalesce(1).write.mode("append").parquet(str(src))
