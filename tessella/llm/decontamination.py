@@ -4,7 +4,7 @@ Words are lower-cased and stripped of punctuation; numbers, units and names beco
 (<number>, <unit>, <name>: a capitalised word inside a sentence).  A text's template windows are the runs
 of WINDOW canonical words; a document's windows meet a benchmark item's by hash.  Windows of one document
 and one item that lie at the same distance from each other line up the two texts; if at least SIMILARITY of
-the item's windows are met in one such alignment or close to it, and the slots are filled consistently (the
+the item's windows are met in any such alignment or close to it, and the slots are filled consistently there (the
 same value of the item by the same value of the document, different values by different ones), the item
 leaked: word for word, or with its numbers, names and units replaced.
 
@@ -139,21 +139,21 @@ def document_windows(docs: DataFrame, wanted: np.ndarray | None, short: list[int
     return docs.mapInPandas(run, "doc_id string, row long, hash long, at int")
 
 
-def aligned(shifts: list[int], ats: list[int], n_windows: int) -> tuple[int, int]:
-    """(most distinct windows of the item met by neighbouring alignments, the shift in their middle)."""
+def alignments(shifts: list[int], ats: list[int], least: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(distinct windows of the item met, the matches' shifts, their places) of every run of neighbouring alignments that meets at least so many, the fullest first."""
     order = np.argsort(np.asarray(shifts), kind="stable")
     s, a = np.asarray(shifts)[order], np.asarray(ats)[order]
-    best = (0, 0)
-    low = 0
-    for high in range(len(s)):
-        while s[high] - s[low] > DRIFT:
-            low += 1
-        if high + 1 - low > best[0]:
-            n = len(np.unique(a[low : high + 1]))
-            if n > best[0]:
-                values, counts = np.unique(s[low : high + 1], return_counts=True)
-                best = (n, int(values[counts.argmax()]))
-    return best
+    out = []
+    ends = np.searchsorted(s, s + DRIFT, "right")
+    last = 0
+    for low in np.flatnonzero(np.r_[True, s[1:] != s[:-1]]).tolist():
+        high = int(ends[low])
+        if high > last and high - low >= least:  # otherwise the run before holds it
+            n = len(np.unique(a[low:high]))
+            if n >= least:
+                out.append((n, s[low:high], a[low:high]))
+        last = max(last, high)
+    return sorted(out, key=lambda x: -x[0])
 
 
 def consistent(item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarray], shift: int) -> tuple[int, bool]:
@@ -169,6 +169,17 @@ def consistent(item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.nd
     return int(slot.sum()), fine
 
 
+def leaked(item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarray], shifts: list[int], ats: list[int], least: float) -> tuple[int, int] | None:
+    """(windows met, slots) of the fullest alignment whose slots are filled consistently at its commonest shift or at one that is full enough alone."""
+    for n, s, _ in alignments(shifts, ats, least):
+        values, counts = np.unique(s, return_counts=True)
+        for shift in [int(values[counts.argmax()]), *values[counts >= least].tolist()]:
+            slots, fine = consistent(item, doc, shift)
+            if fine:
+                return n, slots
+    return None
+
+
 def verified(hits: DataFrame) -> DataFrame:
     """hits: doc_id, item_id, n_windows, matches array<struct<shift, at>>, doc_text, item_text; leaks with their evidence."""
 
@@ -177,12 +188,9 @@ def verified(hits: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                n, shift = aligned([m["shift"] for m in r.matches], [m["at"] for m in r.matches], r.n_windows)
-                if n < SIMILARITY * r.n_windows:
-                    continue
-                slots, fine = consistent(reader.read(r.item_text), reader.read(r.doc_text), shift)
-                if fine:
-                    rows.append((r.doc_id, r.item_id, n, r.n_windows, n / r.n_windows, slots))
+                best = leaked(reader.read(r.item_text), reader.read(r.doc_text), [m["shift"] for m in r.matches], [m["at"] for m in r.matches], SIMILARITY * r.n_windows)
+                if best:
+                    rows.append((r.doc_id, r.item_id, best[0], r.n_windows, best[0] / r.n_windows, best[1]))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_matched", "n_windows", "similarity", "n_slots"])
 
     return hits.mapInPandas(run, "doc_id string, item_id string, n_matched int, n_windows int, similarity double, n_slots int")

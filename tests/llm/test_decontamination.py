@@ -41,6 +41,12 @@ def test_leaks_word_for_word_and_with_other_values(spark, monkeypatch, sent):
     assert docs.columns == clean(docs, items).columns
 
 
+def test_every_alignment_is_checked(spark):
+    other = ITEM.replace("to Lyon", "to Milan")  # the same template, filled inconsistently
+    docs, items = tables(spark, [(1, f"{other} {prose(40, 1)}. {ITEM}"), (2, f"{ITEM} {prose(40, 2)}. {other}"), (3, f"{other} {prose(40, 3)}. {other}"), (4, f"{other} {other} {other} {ITEM}")], [(10, ITEM)])
+    assert sorted(r.doc_id for r in leaks(docs, items).collect()) == [1, 2, 4]
+
+
 def test_short_items_and_empty_tables(spark):
     docs, items = tables(spark, [(1, "so what is love anyway"), (2, "love is what")], [(5, "what is love")])
     assert [(r.doc_id, r.item_id) for r in leaks(docs, items).collect()] == [(1, 5)]
