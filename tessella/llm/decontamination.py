@@ -4,9 +4,9 @@ Words are lower-cased and stripped of punctuation; numbers, units and names beco
 (<number>, <unit>, <name>: a capitalised word inside a sentence).  A text's template windows are the runs
 of WINDOW canonical words; a document's windows meet a benchmark item's by hash.  Windows of one document
 and one item that lie at the same distance from each other line up the two texts; if at least SIMILARITY of
-the item's windows are met in any such alignment or close to it, and the slots are filled consistently there (the
-same value of the item by the same value of the document, different values by different ones), the item
-leaked: word for word, or with its numbers, names and units replaced.
+the item's windows are met in any such alignment or close to it, and the slots of those windows, each window
+compared where it was met, are filled consistently (the same value of the item by the same value of the
+document, different values by different ones), the item leaked: word for word, or with its numbers, names and units replaced.
 
 Items of fewer words than a window are compared as a whole, as one window.  Null or empty texts match
 nothing.  Repeated rows are reported once for each document id and item; extra columns are ignored; with an
@@ -156,27 +156,29 @@ def alignments(shifts: list[int], ats: list[int], least: float) -> list[tuple[in
     return sorted(out, key=lambda x: -x[0])
 
 
-def consistent(item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarray], shift: int) -> tuple[int, bool]:
-    """(slots that line up, whether their values map one to one)."""
+def consistent(item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarray], at: np.ndarray, shift: np.ndarray) -> tuple[int, bool]:
+    """at, shift: places of the matched windows and each one's own shift.  (slots that line up, whether their values map one to one)."""
     canon, own = item
-    k = np.arange(len(canon))
-    k = k[(k + shift >= 0) & (k + shift < len(doc[0]))]
-    slot = np.isin(canon[k], np.asarray([NUMBER_ID, UNIT_ID, NAME_ID], np.uint64)) & (doc[0][k + shift] == canon[k])
-    there, here = {}, {}
-    fine = True
-    for x, y in zip(own[k[slot]].tolist(), doc[1][k[slot] + shift].tolist()):
-        fine &= there.setdefault(x, y) == y and here.setdefault(y, x) == x
-    return int(slot.sum()), fine
+    k = at[:, None] + np.arange(min(WINDOW, len(canon)))
+    slot = np.isin(canon[k], np.asarray([NUMBER_ID, UNIT_ID, NAME_ID], np.uint64))
+    pairs = set(zip(own[k[slot]].tolist(), doc[1][(k + shift[:, None])[slot]].tolist()))
+    return len(np.unique(k[slot])), len({x for x, _ in pairs}) == len({y for _, y in pairs}) == len(pairs)
 
 
 def leaked(item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarray], shifts: list[int], ats: list[int], least: float) -> tuple[int, int] | None:
-    """(windows met, slots) of the fullest alignment whose slots are filled consistently at its commonest shift or at one that is full enough alone."""
-    for n, s, _ in alignments(shifts, ats, least):
+    """(windows met, slots) of the fullest alignment whose slots are filled consistently.
+
+    Around each shift of an alignment, a window met at several takes the nearest one, or the one at which most words are the same."""
+    width = np.arange(min(WINDOW, len(item[0])))
+    for n, s, a in alignments(shifts, ats, least):
+        same = (item[1][a[:, None] + width] == doc[1][(a + s)[:, None] + width]).sum(axis=1)
         values, counts = np.unique(s, return_counts=True)
-        for shift in [int(values[counts.argmax()]), *values[counts >= least].tolist()]:
-            slots, fine = consistent(item, doc, shift)
-            if fine:
-                return n, slots
+        for shift in values[np.argsort(-counts, kind="stable")].tolist():
+            for order in (np.lexsort((np.abs(s - shift), a)), np.lexsort((np.abs(s - shift), -same, a))):
+                own = order[np.unique(a[order], return_index=True)[1]]
+                slots, fine = consistent(item, doc, a[own], s[own])
+                if fine:
+                    return n, slots
     return None
 
 

@@ -47,6 +47,13 @@ def test_every_alignment_is_checked(spark):
     assert sorted(r.doc_id for r in leaks(docs, items).collect()) == [1, 2, 4]
 
 
+def test_slots_beyond_an_insertion_are_compared_where_they_were_met(spark):
+    item = "A farmer sorts 5 crates of apples into rows before the market opens and then writes the labels 3 5 7 9 on them for the buyers to read"
+    docs = [(1, item.replace("labels 3", "labels neatly 3")), (2, item.replace("labels 3", "labels neatly 3").replace("5", "8").replace("9", "2")), (3, item.replace("sorts 5", "sorts 6").replace("labels 3", "labels neatly 3"))]
+    docs, items = tables(spark, docs, [(10, item)])
+    assert sorted(r.doc_id for r in leaks(docs, items).collect()) == [1, 2]  # in the third 5 stands for two
+
+
 def test_short_items_and_empty_tables(spark):
     docs, items = tables(spark, [(1, "so what is love anyway"), (2, "love is what")], [(5, "what is love")])
     assert [(r.doc_id, r.item_id) for r in leaks(docs, items).collect()] == [(1, 5)]
