@@ -12,6 +12,8 @@ overlap are one maximal run, and its lines are deleted.
 Ranks come from sorting distinct pairs over all tasks; groups are counted before the shuffle, and a line
 that holds a third of all rows is one row among the ranked pairs.
 
+A least length that is no power of two is ranked by itself, from the pair of ranks whose lines overlap.
+
 Runs of fewer than MIN_LINES lines stay.  Null text stays null; an empty one stays empty.  Repeated rows
 are copies of each other like any others.  Extra columns are carried by dedup_lines; an empty table gives an
 empty result.
@@ -50,12 +52,17 @@ def ranked(active: DataFrame, keys: list[str], length: Column) -> DataFrame:
     return materialize(out, "line-ranks")[0]
 
 
-def suffix_intervals(lines: DataFrame) -> DataFrame:
-    """row, pos, length: for each suffix with an earlier copy, the lines in common in the deepest interval that holds both."""
+def suffix_intervals(lines: DataFrame, min_lines: int) -> DataFrame:
+    """row, pos, length: for each suffix with an earlier copy, the lines in common in the deepest interval that holds both; min_lines is a depth besides the powers of two."""
     active = ranked(lines.select("row", "doc_id", "pos", "n", "id"), ["id"], F.lit(1))
     steps, reach = [active], 1
     while not active.where(F.col("n") - F.col("pos") > reach).isEmpty():
-        ahead = F.first("rank").over(Window.partitionBy("row").orderBy("pos").rangeBetween(reach, reach))
+        along = Window.partitionBy("row").orderBy("pos")
+        if reach < min_lines < 2 * reach:  # the first min_lines lines are the first and the last `reach` of them
+            rest = min_lines - reach
+            both = active.withColumn("next", F.first("rank").over(along.rangeBetween(rest, rest))).where((F.col("pos") + min_lines <= F.col("n")) & F.col("next").isNotNull())
+            steps.append(ranked(both.withColumnRenamed("rank", "own"), ["own", "next"], F.lit(min_lines)))
+        ahead = F.first("rank").over(along.rangeBetween(reach, reach))
         paired = active.withColumn("next", F.when(F.col("pos") + reach >= F.col("n"), F.lit(0).cast("long")).otherwise(ahead)).where(F.col("next").isNotNull())
         reach *= 2
         active = ranked(paired.withColumnRenamed("rank", "own"), ["own", "next"], F.least(F.lit(reach), F.col("n") - F.col("pos")))
@@ -70,7 +77,7 @@ def copied_runs(lines: DataFrame, min_lines: int) -> DataFrame:
     """row, run, low, high: maximal runs of visible lines [low, high) that are later copies."""
     before = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("row").orderBy("pos")
-    marked = suffix_intervals(lines).where(F.col("length") >= min_lines).withColumn("reach", F.max(F.col("pos") + F.col("length")).over(before))
+    marked = suffix_intervals(lines, min_lines).where(F.col("length") >= min_lines).withColumn("reach", F.max(F.col("pos") + F.col("length")).over(before))
     numbered = marked.withColumn("run", F.sum(F.when(F.col("reach").isNull() | (F.col("pos") > F.col("reach")), 1).otherwise(0)).over(upto))
     return numbered.groupBy("row", "run").agg(F.min("pos").alias("low"), F.max(F.col("pos") + F.col("length")).alias("high"))
 

@@ -40,6 +40,14 @@ def test_against_brute_force(spark):
         assert run(spark, docs, min_lines) == brute(docs, min_lines)
 
 
+def test_least_lengths_between_powers_of_two(spark):
+    random.seed(8)
+    docs = [(k, "\n".join(random.choice(["a", "b", "c", ""]) for _ in range(random.randint(0, 14)))) for k in range(30)]
+    docs += [(100, "p\nq\nr\nx"), (101, "p\nq\nr\ny"), (102, "z\np\nq\nr"), (103, "1\n2\n3\n4\n5\n6"), (104, "1\n2\n3\n4\n5\n7")]
+    for min_lines in (3, 5):
+        assert run(spark, docs, min_lines) == brute(docs, min_lines)
+
+
 def test_long_copies_hot_lines_and_repeated_rows(spark):
     random.seed(7)
     body = [f"line {k}" for k in range(70)]
