@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,20 @@ def test_corpus_fingerprints(spark):
     assert got == {str(k): plain(t) for k, t in enumerate(texts) if len(t) > 1}
 
 
+def test_large_components_are_split_by_the_same_rule(spark, monkeypatch):
+    rng = random.Random(3)
+    prints = {0}
+    for _ in range(120):  # one chained component of fingerprints, many of them far apart
+        prints.add(rng.choice(sorted(prints)) ^ (1 << rng.randrange(62)) ^ (1 << rng.randrange(62)))
+    monkeypatch.setattr(corpus, "MAX_COMPONENT", 8)
+    docs = spark.createDataFrame([(str(p), f"text {p}") for p in prints], "id string, text string").coalesce(2)
+    monkeypatch.setattr(corpus, "fingerprints", lambda d: d.select("id", F.col("id").cast("long").alias("fingerprint"), F.lit(1).alias("n_shingles")))
+    got = corpus.near_clusters(docs, 0.95).collect()
+    want = [sorted(map(str, c)) for c in corpus.cliques(list(prints), 0.95)]
+    assert sorted(r.members for r in got) == sorted(want) and len(want) > 15
+    assert all(r.min_similarity >= 0.95 for r in got)
+
+
 def test_near_clusters_are_cliques(spark):
     base = " ".join(f"word{k}" for k in range(200))
     docs = [("a", base), ("b", base.replace("word5 ", "other ")), ("c", base), ("d", " ".join(f"else{k}" for k in range(200))), ("e", None)]
