@@ -16,10 +16,6 @@ from pyspark.sql import functions as F
 
 from tessella.functions.html import parse
 
-#: Characters of a document that an extractor reads at most in place of a time limit; beyond, it says so.
-MAX_CHARS = 2_000_000
-MAX_MATCHES = 100
-
 
 def java_regex(pattern: str, case_sensitive: bool = False) -> str:
     """The pattern in the dialect of the engine, checked; words and spaces are Unicode's."""
@@ -67,12 +63,10 @@ def run_filter(documents: DataFrame, spec: Filter) -> tuple[DataFrame, DataFrame
 
 
 def extract_regex(documents: DataFrame, name: str, pattern: str, group: int = 0, case_sensitive: bool = False) -> DataFrame:
-    """url, name (an array of matches), name_budget_exceeded."""
+    """url, name (an array of all matches), name_budget_exceeded (never: whole documents are read, without a limit)."""
     rx = java_regex(pattern, case_sensitive)
-    body = F.coalesce("html", F.lit(""))
-    over = F.length(body) > MAX_CHARS
-    found = F.slice(F.regexp_extract_all(body, F.lit(rx), F.lit(group)), 1, MAX_MATCHES)
-    return documents.where(F.coalesce("ok", F.lit(False))).select("url", F.when(over, F.array().cast("array<string>")).otherwise(found).alias(name), over.alias(f"{name}_budget_exceeded"))
+    found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(rx), F.lit(group))
+    return documents.where(F.coalesce("ok", F.lit(False))).select("url", found.alias(name), F.lit(False).alias(f"{name}_budget_exceeded"))
 
 
 @dataclass(frozen=True)
@@ -162,30 +156,27 @@ def elements(html: str, chain: list[dict], attribute: str | None) -> list[str]:
     class Finder(HTMLParser):
         def __init__(self) -> None:
             super().__init__(convert_charrefs=True)
-            self.stack: list[tuple[str, dict]] = []
+            self.stack: list[tuple[str, int]] = []  # open elements, with how much of the chain they and those above fit
             self.open: list[tuple[int, list[str]]] = []
             self.found: list[list[str]] = []
 
         def handle_starttag(self, tag: str, attrs: list) -> None:
             a = {k: v or "" for k, v in attrs}
-            above = [*self.stack, (tag, a)]
-            at = 0
-            for t, b in above[:-1]:
-                if at < len(chain) - 1 and fits(chain[at], t, b):
-                    at += 1
-            if at == len(chain) - 1 and fits(chain[-1], tag, a) and len(self.found) < MAX_MATCHES:
+            at = self.stack[-1][1] if self.stack else 0
+            if at == len(chain) - 1 and fits(chain[-1], tag, a):
                 text: list[str] = [a.get(attribute, "")] if attribute else []
                 self.found.append(text)
                 if not attribute and tag not in VOID:
                     self.open.append((len(self.stack), text))
             if tag not in VOID:
-                self.stack.append((tag, a))
+                self.stack.append((tag, at + 1 if at < len(chain) - 1 and fits(chain[at], tag, a) else at))
 
         def handle_endtag(self, tag: str) -> None:
             for k in range(len(self.stack) - 1, -1, -1):
                 if self.stack[k][0] == tag:
                     del self.stack[k:]
-                    self.open = [(d, t) for d, t in self.open if d < k]
+                    while self.open and self.open[-1][0] >= k:
+                        self.open.pop()
                     break
 
         def handle_data(self, data: str) -> None:
@@ -193,7 +184,7 @@ def elements(html: str, chain: list[dict], attribute: str | None) -> list[str]:
                 text.append(data)
 
     f = Finder()
-    f.feed(html[:MAX_CHARS])
+    f.feed(html)
     return [" ".join("".join(t).split()) for t in f.found]
 
 

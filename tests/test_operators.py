@@ -104,6 +104,16 @@ def test_template_shingles_do_not_vote(spark):
     assert corpus.template_shingles(df.limit(19)).count() == 0
 
 
+def test_extractors_read_whole_documents_and_return_all_matches(spark):
+    long = "<ul>" + "".join(f"<li><i>{k}</i></li>" for k in range(250)) + "</ul>" + "x" * 2_100_000 + "<ul><li>last 250</li></ul>"
+    docs = spark.createDataFrame([("a", True, long)], "url string, ok boolean, html string")
+    r = search.extract_regex(docs, "n", r"(\d+)", 1).first()
+    assert r.n == [str(k) for k in range(251)] and r.n_budget_exceeded is False
+    assert search.extract_elements(docs, "t", "ul li").first().t == [*map(str, range(250)), "last 250"]
+    nested = "<div class=k><div><b>1</b></div><p><b>2</b></p></div><div><b>3</b></div>"
+    assert search.elements(nested, search.compiled("div.k div b"), None) == ["1"] and search.elements(nested, search.compiled("div b"), None) == ["1", "2", "3"]
+
+
 def test_search(spark):
     docs = spark.createDataFrame([("a", True, "<p>Hello World</p>", "Hello World"), ("b", True, "<p>bye 12</p>", "bye 12"), ("c", False, None, None)], "url string, ok boolean, html string, text string")
     found, one = search.run_filter(docs, search.Filter("hello"))
