@@ -84,3 +84,26 @@ def test_against_brute_force(spark):
                 want.add((d, i))
     a, b = tables(spark, docs, items)
     assert {(r.doc_id, r.item_id) for r in leaks(a, b).collect()} == want and len(want) > 15
+
+
+def test_runs_of_one_symbol_and_repeated_item_ids(spark):
+    rng = random.Random(9)
+    numbers = lambda n: " ".join(str(rng.randint(1, 10**6)) for _ in range(n))
+    item = numbers(60)
+    docs = [(k, f"{prose(10, k)} {numbers(3000)}") for k in range(5)] + [(7, f"{numbers(500)} {item} {numbers(500)}"), (8, prose(100_000, 3) + " " + ITEM)]
+    a, b = tables(spark, docs, [(1, item), (1, ITEM), (2, prose(20, 77)), (None, ITEM)])
+    got = {(r.doc_id, r.item_id): r.similarity for r in leaks(a, b).collect()}
+    assert {k for k in got if k[0] in (7, 8)} == {(7, 1), (8, 1), (8, None)} and got[7, 1] == 1.0
+
+
+def test_conflicting_slots_in_a_copy_that_is_nearly_word_for_word(spark):
+    long = f"{prose(80, 6)} {ITEM}"
+    docs = [(1, long.replace("to Lyon", "to Milan")), (2, ITEM.replace("to Lyon", "to Milan"))]
+    a, b = tables(spark, docs, [(10, long), (11, ITEM)])
+    assert [(r.doc_id, r.item_id) for r in leaks(a, b).collect()] == [(1, 10)]
+
+
+def test_a_clean_text_with_the_id_of_a_leak_stays(spark):
+    docs, items = tables(spark, [(1, ITEM), (1, prose(50, 2)), (None, prose(30, 3)), (None, ITEM)], [(10, ITEM)])
+    left = clean(docs.withColumnRenamed("item_id", "gone_row_key"), items).collect()
+    assert sorted(len(r.text.split()) for r in left) == [30, 50]
