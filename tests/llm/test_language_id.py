@@ -64,3 +64,38 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "the river", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in identify(df).collect()] == [("und", 0.0)]
     assert identify(df.limit(0)).count() == 0
+
+
+def log_brute(word, p, longest):
+    """The log of the sum over all segmentations, place by place."""
+    vocab = vocabulary()
+    ids = {s: k for k, s in enumerate(vocab.pieces)}
+    word = "▁" + word
+    logs = [0.0]
+    for end in range(1, len(word) + 1):
+        own = [logs[at] + np.log(p[ids[word[at:end]]]) for at in range(max(0, end - longest), end) if word[at:end] in ids]
+        if word[end - 1] not in ids:
+            own.append(logs[end - 1] + np.log(UNKNOWN))
+        logs.append(np.logaddexp.reduce(own))
+    return logs[-1]
+
+
+def test_words_of_any_length_and_rare_pieces_do_not_underflow():
+    vocab, rng = vocabulary(), np.random.default_rng(3)
+    words = ["the", "q" * 40, "unbelievable" * 30, "漢" * 200, "x" * 47, "y" * 48, "z" * 49, "riversandstones" * 7]
+    for p in (rng.random(vocab.size) / 1000, np.full(vocab.size, 3e-9)):
+        lattice = Lattice(words, vocab)
+        edge = np.append(p, UNKNOWN)[lattice.piece]
+        want = [log_brute(w, p, vocab.longest) for w in words]
+        assert np.allclose(lattice.log_totals(edge), want, rtol=1e-9)
+        covered = np.bincount(lattice.word_of, weights=lattice.posteriors(edge) * lattice.size)
+        assert np.allclose(covered, [len(w) + 1 for w in words])
+
+
+def test_numerals_are_no_letters_and_long_words_are_whole(spark):
+    docs = [(k, "the river and the stone", "en") for k in range(6)] + [(k, "le pont est la", "fr") for k in range(6, 12)]
+    docs += [(100, "½ ² Ⅷ ③", "en"), (101, "the² ½ and", None), (102, "theriverand" * 50_000, None), (103, "½", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in identify(df).collect()}
+    assert [(out[k].lang_pred, out[k].score) for k in (100, 103)] == [("und", 0.0)] * 2
+    assert out[101].lang_pred == "en" and out[102].lang_pred == "en" and out[102].score == 1.0
