@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
+import threading
+import time
 import uuid
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,20 +26,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where it is unset and all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: By thread: the tables written by each build() that runs, and on the lowest level by whoever keeps an account of them.
+_accounts = threading.local()
+
+
+def open_accounts() -> list[list[str]]:
+    if not hasattr(_accounts, "open"):
+        _accounts.open = []
+    return _accounts.open
+
+
 def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Writes df to the shared folder and rereads it: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     release_shuffles(spark)
+    if open_accounts():
+        open_accounts()[-1].append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -45,6 +65,21 @@ def discard(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def build(spark: SparkSession, tag: str, steps: Callable[[], DataFrame]) -> DataFrame:
+    """The table that the steps make, written down; what they wrote on the way is deleted."""
+    own: list[str] = []
+    open_accounts().append(own)
+    try:
+        out, path = materialize(steps(), tag)
+        own.remove(path)
+    finally:
+        open_accounts().pop()
+        discard(spark, *own)
+    if open_accounts():
+        open_accounts()[-1].append(path)
+    return out
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -80,6 +115,12 @@ def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def word_hashes(texts: list[list]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all the texts, one text after the other, and where each text begins, with the end of the last."""
+    starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]).astype(np.int64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(texts)), np.uint64, int(starts[-1])), starts
+
+
 def with_columns_kept(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; a missing one becomes null, so that extra or missing columns do no harm.
 
@@ -101,6 +142,14 @@ def stacked(names: list[str], parts: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame({n: np.concatenate(x) if x else np.empty(0, object) for n, x in columns.items()})
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one, that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Rows of a table of ids, 16 bytes each at most, that may be sent to every task.
 SENT_ROWS = 2_000_000
 
@@ -117,7 +166,14 @@ def ids_as_text(df: DataFrame, name: str = "doc_id") -> tuple[DataFrame, str]:
     return df.withColumn(name, F.col(name).cast("string")), "bigint" if kind == "void" else kind
 
 
+#: Seconds between collections at least.
+COLLECT_EVERY = 3.0
+_collected = [0.0]
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps that nothing refers to any more, which else waits for the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _collected[0] >= COLLECT_EVERY:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()

@@ -1,10 +1,14 @@
 """Exact n-gram Jaccard join, in tiles by size with hashed bitmap signatures.
 
-A document is the set of its distinct n-word shingles.  Documents with equal sets are one class from the start.  Sizes fall into bands so that a link never spans more
-than two neighbouring ones, and a link between sets of a band has at most so many shingles that only one side
-has.  With one part more than that, dealt by hash, the two sets agree in one part entirely.  Classes of a
-tile, which is a band together with a part's content, are therefore all that can link, and sharing a frequent
-passage is not enough to be in one.
+A document is the set of its distinct n-word shingles.  Documents with equal sets are one class from the start.
+Sizes fall into bands so that a link never spans more than two neighbouring ones, and a link between sets of a
+band has at most so many shingles that only one side has.  With one part more than that, dealt by hash, the two
+sets agree in one part entirely.  Classes of a tile, which is a band together with a part's content, are therefore
+all that can link, and sharing a frequent passage is not enough to be in one.
+
+Empty parts would make tiles of everything that has one by chance.  So some more parts are dealt than are needed, as
+many as are likely to be empty; only a set with so many empty parts that a link of it might agree in nothing else
+is in the tiles of its empty parts, too.
 
 A pair within a tile is first bounded by size, then by bitmaps as wide as the sets are large: bits that only
 one of the two has stand for at least as many shingles that the other lacks.  Only pairs within both bounds
@@ -24,6 +28,7 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import discard, ids_as_text, materialize, mix64, read_table, window_hashes, with_columns_kept
+from tessella.llm.common import build, discard, ids_as_text, materialize, mix64, read_table, window_hashes, with_columns_kept, word_hashes
 from tessella.operators.components import connected_components
 
 #: Bits of a bitmap at least and at most; in between the next power of two above four times the size.
@@ -41,7 +46,8 @@ LEAST_BITS, MOST_BITS = 64, 1 << 18
 #: Keys of a class, the least of those still open, by which a pair is known to have met in an earlier tile.
 FIRST_KEYS = 32
 ROUNDS = 2
-WORD_CACHE = 400_000
+#: From so many parts on, some more are dealt than a link can differ in.
+LEAST_PARTS = 8
 #: Pairs whose ids are sent to all tasks to pick texts and arrays, 16 bytes each; more are joined by a shuffle.
 SENT_IDS = 2_000_000
 
@@ -50,6 +56,7 @@ class Bands:
 
     def __init__(self, percent: int) -> None:
         self.percent, self.edges = percent, [1]
+        self.dealt: dict[int, int] = {}
 
     def of(self, n: int) -> int:
         e = self.edges
@@ -57,36 +64,52 @@ class Bands:
             e.append(max(e[-1] + 1, (e[-1] - 1) * 100 // self.percent + 1))
         return bisect.bisect_right(e, n) - 1
 
+    def top(self, band: int) -> int:
+        """The largest size of a band."""
+        while len(self.edges) < band + 2:
+            self.of(self.edges[-1])
+        return self.edges[band + 1] - 1
+
+    def apart(self, a: int, b: int) -> int:
+        """Shingles that sets of these sizes that link can have on one side only."""
+        return (100 - self.percent) * (a + b) // (100 + self.percent)
+
     def parts(self, band: int) -> int:
-        """One more than the shingles that a set of the band and a link of its own size or more can have on one side only."""
-        self.of(self.edges[-1] + 1) if len(self.edges) < band + 2 else None
-        most = self.edges[band + 1] - 1
-        return (100 - self.percent) * (most + 100 * most // self.percent) // (100 + self.percent) + 1
+        """Parts for a band's tiles: one more than a link can differ in, and some more for parts that are empty by chance."""
+        if (found := self.dealt.get(band)) is None:
+            most = self.top(band)
+            found = self.apart(most, 100 * most // self.percent) + 1
+            if found >= LEAST_PARTS:
+                empty = found * math.exp(-most / found)
+                found += math.ceil(empty + 2 * math.sqrt(empty))
+            self.dealt[band] = found
+        return found
+
+    def empties(self, n: int, band: int) -> int:
+        """The empty parts that a set of size n must have in a band's tiles for a link of it to agree in nothing but empty parts."""
+        other = 100 * n // self.percent if band == self.of(n) else self.top(band)
+        return self.parts(band) - self.apart(n, other)
 
 
 class Shingler:
     """Sorted distinct shingle hashes of texts."""
 
     def __init__(self, n: int) -> None:
-        self.n, self.known = n, {}
+        self.n = n
+
+    def all(self, texts: list[str | None]) -> list[np.ndarray]:
+        hashes, starts = word_hashes([t.encode("utf-8", "surrogatepass").lower().split() if isinstance(t, str) else [] for t in texts])
+        runs, out = window_hashes(hashes, self.n), []
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            if b - a < self.n:
+                out.append(window_hashes(hashes[a:b], b - a) ^ np.uint64(b - a) if b > a else np.empty(0, np.uint64))
+            else:
+                own = np.sort(runs[a : b - self.n + 1])
+                out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        return out
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > WORD_CACHE:
-            known.clear()
-        ids = list(map(known.get, words))
-        if None in ids:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            ids = list(map(known.get, words))
-        hashes = np.asarray(ids, np.uint64)
-        if len(hashes) < self.n:
-            return window_hashes(hashes, len(hashes)) ^ np.uint64(len(hashes))
-        return np.unique(window_hashes(hashes, self.n))
+        return self.all([text])[0]
 
 
 def set_hash(shingles: np.ndarray) -> tuple[int, int]:
@@ -107,14 +130,14 @@ def tile_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     own = bands.of(len(shingles))
     mixed_ = mix64(shingles ^ np.uint64(0x5851F42D4C957F2D))
     out = []
-    for band in {own, max(own - 1, 0)}:
+    for band in sorted({own, max(own - 1, 0)}):
         parts = bands.parts(band)
         at = (shingles % np.uint64(parts)).astype(np.int64)
         sums = np.zeros(parts, np.uint64)
         np.add.at(sums, at, mixed_)
         filled = np.flatnonzero(np.bincount(at, minlength=parts))
         out.append(mix64(sums[filled] + mix64(filled.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band))))
-        if len(filled) < parts:  # an empty part is content that sets can agree in, too
+        if parts - len(filled) >= bands.empties(len(shingles), band):
             empty = np.setdiff1d(np.arange(parts), filled)
             out.append(mix64(mix64(empty.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band))))
     return np.concatenate(out).view(np.int64)
@@ -130,8 +153,7 @@ def shingled(docs: DataFrame, n: int, percent: int, numbered: bool) -> DataFrame
         nothing = np.empty(0, np.int64)
         for batch in batches:
             rows = []
-            for doc_id, given, th, text in zip(batch["doc_id"], batch["row"], batch["th"], batch["text"]):
-                own = shingle(text if isinstance(text, str) else None)
+            for doc_id, given, th, own in zip(batch["doc_id"], batch["row"], batch["th"], shingle.all(batch["text"].tolist())):
                 rows.append((int(given) if numbered else own_uid, doc_id, int(th), len(own), *set_hash(own), *((tile_keys(own, bands), bitmap(own)) if len(own) else (nothing, nothing))))
                 own_uid += 1
             yield pd.DataFrame(rows, columns=["uid", "doc_id", "th", "n", "k1", "k2", "keys", "bits"])
@@ -146,7 +168,7 @@ def arrays_of(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(n)
         for batch in batches:
-            own = [shingle(t) for t in batch["text"]]
+            own = shingle.all(batch["text"].tolist())
             yield pd.DataFrame([(*set_hash(x), x.tobytes()) for x in own], columns=["k1", "k2", "shingles"])
 
     return docs.select("text").mapInPandas(run, "k1 long, k2 long, shingles binary")
@@ -178,10 +200,13 @@ class Join:
         self.percent, self.spark = percent, docs.sparkSession
         kept = with_columns_kept(docs, "doc_id", "text", *([row] if row else [])).withColumn("row", F.col(row) if row else F.lit(0))
         self.n, self.docs = n, kept.select("doc_id", "row", "text", F.xxhash64("text").alias("th"))
-        self.all, _ = materialize(shingled(self.docs, n, percent, row is not None), "join-sets")
-        self.members = self.all.select("doc_id", "n", "k1", "k2", "uid", "th")
+        sets, path = materialize(shingled(self.docs, n, percent, row is not None), "join-sets")
+        self.members, _ = materialize(sets.select("doc_id", "n", "k1", "k2", "uid", "th"), "join-members")
         self.classes, _ = materialize(self.members.where("n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("low"), F.first("n").alias("n"), F.min("th").alias("th")), "join-classes")
-        self.signatures, _ = materialize(self.all.select(F.col("uid").alias("cid"), "n", "bits", "keys").join(self.classes.select("cid"), "cid", "left_semi"), "join-signatures")
+        chosen = self.classes.select("cid")
+        chosen = F.broadcast(chosen) if chosen.count() <= SENT_IDS else chosen
+        self.signatures, _ = materialize(sets.select(F.col("uid").alias("cid"), "n", "bits", "keys").join(chosen, "cid", "left_semi"), "join-signatures")
+        discard(self.spark, path)
         self.links: DataFrame | None = None
 
     def tiles(self) -> tuple[DataFrame, DataFrame]:
@@ -286,9 +311,13 @@ class Join:
 def join(docs: DataFrame, n: int = 3, percent: int = 90, row: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links), class_id (the same for equal sets), group (a
     number of the component) and row (a number of the row: that of the column named, if one is)."""
-    work = Join(docs, n, percent, row)
-    work.link()
-    return work.result()
+
+    def steps() -> DataFrame:
+        work = Join(docs, n, percent, row)
+        work.link()
+        return work.result()
+
+    return build(docs.sparkSession, "join-result", steps)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

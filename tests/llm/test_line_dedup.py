@@ -58,3 +58,10 @@ def test_long_copies_hot_lines_and_repeated_rows(spark):
 def test_empty_and_missing_columns(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert dedup_lines(spark.createDataFrame([(None, None)], "doc_id long, text string")).first().kept is None
+
+
+def test_one_long_line(spark):
+    long = "a passage " * 40
+    docs = [(1, f"one\n{long}\ntwo"), (2, f"three\n{long}\nfour\nfive"), (3, long), (4, "short\nx"), (5, "short\ny"), (6, f"four\nfive\n{long}\nfour\nfive")]
+    got = run(spark, docs, 2)
+    assert [got[k] for k in range(6)] == [(docs[0][1], 3, 0, 0), ("three\nfour\nfive", 4, 1, 1), ("", 1, 1, 1), ("short\nx", 2, 0, 0), ("short\ny", 2, 0, 0), ("", 5, 5, 1)]
