@@ -11,28 +11,60 @@ Every stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last
 * benchmark decontamination: documents into which a benchmark item leaked go.
 * best-fit packing: the rest in sequences of 2048 tokens, a row for each piece.
 
-Null doc_ids, null texts and repeated rows are treated as the operators say; an empty table stays empty.
+Null doc_ids, null texts, repeated rows and very long texts are treated as the operators say.  Extra columns are carried
+by all stages but the last, whatever their names (names that differ only in case from `doc_id`, `text` or `lang`
+cannot stand beside them in one of Spark's tables); an empty table stays empty.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontamination, line_dedup, ngram_join, packing, quality
-from tessella.llm.common import materialize, read_table, sized
+from tessella.llm.common import discard, materialize, open_accounts, read_table, sized, unused
 
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 
 #: SQL can't express the model of the quality rules, nor the packing.
 ORACLE_SQL = None
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+_written: list[str] = []
+
+
+def stage(f: Stage) -> Stage:
+    """Each stage's result is written before the next stage begins, so the next one deletes what the stages before it
+    wrote on their way, but for what its own documents are read from."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if f is _first:
+            _written.clear()
+        read = docs.inputFiles() if _written else []
+        gone = [p for p in _written if not any(p.rsplit("/", 1)[-1] in x for x in read)]
+        discard(spark, *gone)
+        _written[:] = [p for p in _written if p not in gone]
+        open_accounts().append(_written)
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            open_accounts().pop()
+
+    return run_stage
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A verdict depends on text and language alone, so it finds its documents by a hash of the two."""
     key = F.unhex(F.md5(F.concat_ws("\x00", F.col("text").isNull().cast("string"), F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("")))))
-    rejected = quality.judge(docs.withColumn("verdict_key", key), row="verdict_key").where(~F.col("kept")).select(F.col("row").alias("rejected_verdict_key")).distinct()
-    return docs.join(sized(rejected, "rejected"), key == F.col("rejected_verdict_key"), "left_anti")
+    name = unused(docs, "rejected_key")
+    rejected = quality.judge(docs.select(key.alias("key"), "text", "lang"), row="key").where(~F.col("kept")).select(F.col("row").alias(name)).distinct()
+    return docs.join(sized(rejected, "rejected"), key == F.col(name), "left_anti")
 
 
 def deduplicated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +75,13 @@ def deduplicated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, _ = materialize(docs.withColumn("join_row", F.monotonically_increasing_id()), "pipeline-rows")
-    placed = ngram_join.join(rows, SHINGLE_WORDS, SIMILARITY_PERCENT, row="join_row").where("n_shingles > 0")
-    placed, _ = materialize(placed.select("group", "doc_id", "row"), "pipeline-groups")
+    number = unused(docs, "row_number")
+    gone = unused(docs, "gone_row_number")
+    rows, _ = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "pipeline-rows")
+    placed = ngram_join.join(rows, SHINGLE_WORDS, SIMILARITY_PERCENT, row=number).where("n_shingles > 0")
     stays = placed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")).select("best.row")
-    goes = placed.select("row").join(stays, "row", "left_anti").select(F.col("row").alias("gone_join_row"))
-    return rows.join(sized(goes, "pipeline-goes"), F.col("join_row") == F.col("gone_join_row"), "left_anti").drop("join_row")
+    goes = placed.select("row").join(stays, "row", "left_anti").select(F.col("row").alias(gone))
+    return rows.join(sized(goes, "pipeline-goes"), F.col(number) == F.col(gone), "left_anti").drop(number)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,17 +92,20 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+_first = quality_rules
 STAGES = [
-    ("quality rules", quality_rules),
-    ("line dedup", deduplicated_lines),
-    ("n-gram jaccard join", one_of_each_group),
-    ("benchmark decontamination", decontaminated),
-    ("best-fit packing", packed),
+    ("quality rules", stage(quality_rules)),
+    ("line dedup", stage(deduplicated_lines)),
+    ("n-gram jaccard join", stage(one_of_each_group)),
+    ("benchmark decontamination", stage(decontaminated)),
+    ("best-fit packing", stage(packed)),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs, _ = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    for name, step in STAGES[:-1]:
+        out, path = materialize(step(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        _written.append(path)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
