@@ -5,20 +5,21 @@ Every byte goes that is covered by a string of LENGTH bytes that also starts any
 Which strings must be sorted together is found first.  Among the GRAM-byte grams of a string the one with
 the least hash, the last of equals, is its anchor: all occurrences of a string have the same anchor at the
 same place.  The strings of a text fall into runs with one anchor; a run's bytes, placed by the anchor, are a
-context.  Contexts whose anchor hash occurs once hold no repeated string; equal contexts are counted, and
-every string of a context that occurs twice is repeated.  Different contexts of one anchor are cut into
+context.  Contexts whose anchor hash occurs once hold no repeated string.  Different contexts of one anchor are cut into
 blocks of BLOCK consecutive starts: the strings of a block have its core in common, so only blocks with equal
-cores can hold equal strings, and equal blocks are counted again.
+cores can hold equal strings.
 
-What is left, different blocks with equal cores, is sorted: columns that tell the same blocks apart become
-one symbol, and a suffix array is built over the rows of many groups at once.  Suffixes are first grouped by
-their Lyndon prefixes, in descending order of the groups, through pointers to the previous smaller suffix;
-then each group's order is emitted from the smallest suffix on, without renaming and recursion (Baier,
-"Linear-time suffix sorting - a new approach for suffix array construction").  The longest common prefix
-with a neighbour in that order tells how many bytes from a place on occur in another row as well.
+Hashes only decide which strings are sorted together, and rows that are equal are left out beyond the second, which
+can't change what is found.  What is removed is read off suffix arrays over the rows of many groups at once: of equal
+contexts, a symbol each; of equal blocks alone with their core, likewise; of different blocks with equal cores,
+whose columns that tell the same blocks apart are one symbol.  Suffixes are first grouped by their Lyndon prefixes,
+in descending order of the groups, through pointers to the previous smaller suffix; then each group's order is
+emitted from the smallest suffix on, without renaming and recursion (Baier, "Linear-time suffix sorting - a new
+approach for suffix array construction").  The longest common prefix with a neighbour in that order tells how many
+bytes from a place on occur in another row as well.
 
-A group of over GROUP different blocks isn't gathered in one task: its strings are counted one by one, by
-hashes, over all tasks.
+A group of over GROUP different blocks isn't gathered in one task: its blocks are contexts that are cut into narrower
+blocks, in which fewer strings meet, down to blocks of one start, of which all that meet are equal.
 
 Hashes have 64 bits; groups are met by two of them.  Null text counts as empty; texts of under LENGTH bytes
 keep all their bytes.  Repeated rows are copies of each other.  Extra columns are ignored; an empty table
@@ -35,12 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import discard, materialize, mix64, read_table, stacked, with_columns_kept
+from tessella.llm.common import build, discard, materialize, mix64, read_table, stacked, with_columns_kept
 
 LENGTH = 400
 GRAM = 32
 BLOCK = 32
 GROUP = 5000
+#: By so much blocks of a larger group are cut narrower.
+NARROWER = 6
 #: Symbols that are sorted together at most, but for a larger group.
 SYMBOLS = 40_000
 #: Texts are read in parts of so many bytes, each with LENGTH - 1 bytes of the next.
@@ -201,32 +204,36 @@ def with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return found.select("text", "asked").mapInPandas(run, "h long, c long, lo int, hi int, data binary")
 
 
-def blocks(table: DataFrame, length: int, keep_data: bool) -> DataFrame:
-    """k1, k2 (anchor, block and core), b (hash of the block), h, c, t (the block's first start), first, last (its own starts), data if asked for."""
+def blocks(table: DataFrame, length: int, width: int, keep_data: bool) -> DataFrame:
+    """table: h, c, copies, lo, hi (the first and last start), data; k1, k2 (anchor, block and core), b (hash of the block), h, c,
+    copies, t (the block's first start), first, last (its own starts), data if asked for."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             rows = []
-            for h, c, lo, hi, data in zip(batch["h"], batch["c"], batch["lo"], batch["hi"], batch["data"]):
-                for t in range(lo // BLOCK * BLOCK, hi + 1, BLOCK):
-                    first, last = max(lo, t), min(hi, t + BLOCK - 1)
-                    core = data[t + BLOCK - 1 - lo : t + length - lo]
+            for h, c, copies, lo, hi, data in zip(*(batch[x] for x in ("h", "c", "copies", "lo", "hi", "data"))):
+                for t in range(lo // width * width, hi + 1, width):
+                    first, last = max(lo, t), min(hi, t + width - 1)
+                    core = data[t + width - 1 - lo : t + length - lo]
                     own = data[first - lo : last + length - lo]
                     seed = (h ^ (t * 0x9E3779B97F4A7C15)) & ((1 << 64) - 1)
-                    row = (signed(digest(core, seed=seed)), h, signed(digest(own, seed=first - t + 1)), h, c, t, first, last)
+                    row = (signed(digest(core, seed=seed)), h, signed(digest(own, seed=first - t + 1)), h, c, copies, t, first, last)
                     rows.append((*row, own) if keep_data else row)
-            yield pd.DataFrame(rows, columns=["k1", "k2", "b", "h", "c", "t", "first", "last", *(["data"] if keep_data else [])])
+            yield pd.DataFrame(rows, columns=["k1", "k2", "b", "h", "c", "copies", "t", "first", "last", *(["data"] if keep_data else [])])
 
-    return table.mapInPandas(run, "k1 long, k2 long, b long, h long, c long, t int, first int, last int" + (", data binary" if keep_data else ""))
+    return table.select("h", "c", "copies", "lo", "hi", "data").mapInPandas(run, "k1 long, k2 long, b long, h long, c long, copies int, t int, first int, last int" + (", data binary" if keep_data else ""))
 
 
-def group_rows(rows: list[tuple], length: int) -> tuple[list[list[int]], list[list[tuple[int, int]]], int]:
+def group_rows(rows: list[tuple], length: int, width: int) -> tuple[list[list[int]], list[list[tuple[int, int]]], int]:
     """The rows (t, first, last, data) of one group as lists of symbols, the (start, width) of each symbol, and the count of symbols.
 
-    Neighbouring columns that tell the same rows apart are one symbol; what a row lacks is unlike anything.
+    Neighbouring columns that tell the same rows apart are one symbol; what a row lacks is unlike anything.  Without
+    data the rows are known to differ, or there is but one: each is a symbol.
     """
-    t, m, edge = rows[0][0], len(rows), BLOCK - 1
+    t, m, edge = rows[0][0], len(rows), width - 1
+    if rows[0][3] is None:
+        return [[k] for k in range(m)], [[(first, last + length - first)] for _, first, last, _ in rows], m
     table = np.empty((m, 2 * edge), np.int32)
     for k, (_, first, last, data) in enumerate(rows):
         raw = np.frombuffer(data, np.uint8)
@@ -255,18 +262,22 @@ def group_rows(rows: list[tuple], length: int) -> tuple[list[list[int]], list[li
     return symbols.tolist(), [list(zip(place, wide))] * m, m * len(place)
 
 
-def covered(groups: list[list[tuple]], length: int) -> list[list[list[tuple[int, int]]]]:
-    """For each row of each group: the stretches (from, to), relative to the anchor, of bytes in strings that another row has too."""
+def covered(groups: list[list[tuple]], length: int, width: int) -> list[list[list[tuple[int, int]]]]:
+    """groups: rows (t, first, last, data, copies).  For each row of each group: the stretches (from, to), relative to the
+    anchor, of bytes in strings that another row, or a copy of the same, has too."""
     text: list[int] = []
     where: list[tuple[int, int, list[tuple[int, int]], int]] = []
     used = 1
     for g, rows in enumerate(groups):
-        symbols, spans, n = group_rows(rows, length)
+        symbols, spans, n = group_rows([r[:4] for r in rows], length, width)
+        ends = used + n
         for k, own in enumerate(symbols):
             where.append((g, k, spans[k], len(text)))
-            text += [used + x for x in own]
-            text.append(used + n + k)
-        used += n + len(rows)
+            for _ in range(rows[k][4]):
+                text += [used + x for x in own]
+                text.append(ends)
+                ends += 1
+        used = ends
     order = suffix_array(text)
     shared = common_prefixes(text, order)
     most = [0] * len(text)
@@ -274,96 +285,100 @@ def covered(groups: list[list[tuple]], length: int) -> list[list[list[tuple[int,
         most[i] = max(shared[k], shared[k + 1] if k + 1 < len(shared) else 0)
     out: list[list[list[tuple[int, int]]]] = [[[] for _ in rows] for rows in groups]
     for g, k, spans, base in where:
+        _, first, last = groups[g][k][:3]
         for at, (start, _) in enumerate(spans):
             n = most[base + at]
-            if n and start <= spans[0][0] + BLOCK - 1:
-                last = spans[at + n - 1]
-                if last[0] + last[1] - start >= length:
-                    out[g][k].append((start, last[0] + last[1]))
+            if n and start <= spans[0][0] + width - 1:
+                end = spans[at + n - 1]
+                low, high = max(start, first), min(end[0] + end[1], last + length)  # a copy lacks what its row lacks
+                if high - low >= length:
+                    out[g][k].append((low, high))
     return out
 
 
-def sorted_groups(rows: DataFrame, length: int) -> DataFrame:
-    """rows: k1, k2, b, t, first, last, data; k1, k2, b, low, high: the covered stretches of each block."""
+def sorted_groups(rows: DataFrame, length: int, width: int) -> DataFrame:
+    """rows: k1, k2, b, copies (two at most), t, first, last, data; k1, k2, b, low, high: the covered stretches of each row."""
+    names = ["k1", "k2", "b", "low", "high"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names: list[list[tuple]] = []
+        ids: list[list[tuple]] = []
         groups: list[list[tuple]] = []
         key, size = None, 0
 
-        def flush(n: int) -> pd.DataFrame:
+        def flush() -> pd.DataFrame:
             found = []
-            for own, rows in zip(names[:n], covered(groups[:n], length) if n else []):
+            for own, rows in zip(ids, covered(groups, length, width) if groups else []):
                 for name, stretches in zip(own, rows):
                     found += [(*name, a, b) for a, b in stretches]
-            del names[:n], groups[:n]
-            return pd.DataFrame(found, columns=["k1", "k2", "b", "low", "high"])
+            ids.clear(), groups.clear()
+            return pd.DataFrame(found, columns=names)
 
         for batch in batches:
-            for k1, k2, b, t, first, last, data in zip(*(batch[c] for c in ("k1", "k2", "b", "t", "first", "last", "data"))):
+            for k1, k2, b, copies, t, first, last, data in zip(*(batch[c] for c in ("k1", "k2", "b", "copies", "t", "first", "last", "data"))):
                 if (k1, k2) != key:
                     if size > SYMBOLS:
-                        yield flush(len(groups))
+                        yield flush()
                         size = 0
                     key = k1, k2
-                    names.append([])
+                    ids.append([])
                     groups.append([])
-                names[-1].append((k1, k2, b))
-                groups[-1].append((t, first, last, data))
-                size += 2 * BLOCK
-        yield flush(len(groups))
-
-    return rows.repartition("k1", "k2").sortWithinPartitions("k1", "k2").select("k1", "k2", "b", "t", "first", "last", "data").mapInPandas(run, "k1 long, k2 long, b long, low int, high int")
-
-
-def single_strings(rows: DataFrame, length: int) -> DataFrame:
-    """The same for large groups: every string by its hash, counted over all tasks."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
-            found = []
-            for k1, k2, b, first, last, data in zip(*(batch[c] for c in ("k1", "k2", "b", "first", "last", "data"))):
-                found += [(k1, k2, b, t, signed(digest(data[t - first : t - first + length]))) for t in range(first, last + 1)]
-            yield pd.DataFrame(found, columns=["k1", "k2", "b", "low", "string"])
-
-    strings, _ = materialize(rows.select("k1", "k2", "b", "first", "last", "data").mapInPandas(run, "k1 long, k2 long, b long, low int, string long"), "repeats-strings")
-    twice = strings.groupBy("k1", "k2", "low", "string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return strings.join(twice, ["k1", "k2", "low", "string"], "left_semi").select("k1", "k2", "b", "low", (F.col("low") + length).alias("high"))
+                ids[-1].append((k1, k2, b))
+                groups[-1].append((t, first, last, data, copies))
+                size += 2 * copies if data is None else 2 * min(width, len(groups[-1]) + 3) * copies
+        yield flush()
+
+    given = rows.select("k1", "k2", "b", F.least("copies", F.lit(2)).cast("int").alias("copies"), "t", "first", "last", "data")
+    return given.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInPandas(run, "k1 long, k2 long, b long, low int, high int")
+
+
+def found_in_blocks(table: DataFrame, length: int, width: int) -> DataFrame:
+    """table: h, c, copies, lo, hi, data (distinct); h, c, low, high: the stretches that other contexts, or copies, have, too.
+
+    Groups of over GROUP different blocks are cut into narrower blocks, in which fewer strings meet."""
+    cut, cut_path = materialize(blocks(table, length, width, keep_data=False), "repeats-blocks")
+    kinds = cut.groupBy("k1", "k2", "b").agg(F.sum("copies").alias("copies"), F.min(F.struct("h", "c", "t", "first", "last")).alias("one"))
+    kinds, kinds_path = materialize(kinds, "repeats-kinds")
+    groups = kinds.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("kinds"), F.sum("copies").alias("rows")).where("rows > 1").drop("rows")
+    met, met_path = materialize(kinds.join(groups, ["k1", "k2"]).select("k1", "k2", "b", F.least("copies", F.lit(2)).cast("int").alias("copies"), "kinds", "one.*"), "repeats-met")
+    discard(table.sparkSession, kinds_path)
+
+    def with_data(some: DataFrame) -> DataFrame:
+        asked = table.join(some.select("h", "c").distinct(), ["h", "c"], "left_semi")
+        return blocks(asked, length, width, keep_data=True).drop("copies").join(some.select("k1", "k2", "b", "h", "c", "t", "copies"), ["k1", "k2", "b", "h", "c", "t"])
+
+    names = ["k1", "k2", "b", "copies", "t", "first", "last", "data"]
+    alone = met.where("kinds = 1").withColumn("data", F.lit(None).cast("binary")).select(*names)
+    several = with_data(met.where(f"kinds > 1 and kinds <= {GROUP}")).select(*names)
+    found, found_path = materialize(sorted_groups(alone.unionByName(several), length, width), "repeats-found")
+    paths = [cut_path, met_path, found_path]
+    large = met.where(f"kinds > {GROUP}")
+    if not large.isEmpty():  # a block of a large group is a context of its own; blocks of one start have one kind a group
+        own = with_data(large).select(F.xxhash64("k1", "k2").alias("h"), F.xxhash64("k1", "k2", "b").alias("c"), "copies", F.col("first").alias("lo"), F.col("last").alias("hi"), "data", "k1", "k2", "b")
+        own, own_path = materialize(own, "repeats-large")
+        deeper = found_in_blocks(own.drop("k1", "k2", "b"), length, max(1, width // NARROWER))
+        found = found.unionByName(own.select("h", "c", "k1", "k2", "b").join(deeper, ["h", "c"]).select("k1", "k2", "b", "low", "high"))
+        paths.append(own_path)
+    out, _ = materialize(cut.join(found, ["k1", "k2", "b"]).select("h", "c", "low", "high").distinct(), "repeats-stretches")
+    discard(table.sparkSession, *paths)
+    return out
 
 
 def repeated_stretches(texts: DataFrame, length: int) -> DataFrame:
     """texts: tid, text; tid and the stretches of bytes to remove (overlapping, of each distinct text once)."""
     spark = texts.sparkSession
-    every, every_path = materialize(contexts(texts, length), "repeats-contexts")
-    twice = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    runs, _ = materialize(every.join(twice, "h", "left_semi"), "repeats-anchored")
-    discard(spark, every_path)
+    every, _ = materialize(contexts(texts, length), "repeats-contexts")
     rep = F.min(F.struct("tid", "p", "lo", "hi")).alias("rep")
-    counted, _ = materialize(runs.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), rep), "repeats-counted")
-    mixed = counted.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h")
-    table, _ = materialize(with_bytes(texts, counted.join(mixed, "h", "left_semi"), length).dropDuplicates(["h", "c"]), "repeats-bytes")
-    cut, _ = materialize(blocks(table, length, keep_data=False), "repeats-blocks")
-    kinds = cut.groupBy("k1", "k2", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h", "c", "t")).alias("one"))
-    kinds, _ = materialize(kinds, "repeats-kinds")
-    several = kinds.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    open_kinds = kinds.join(several, ["k1", "k2"]).select("k1", "k2", "b", "kinds", "one.h", "one.c", "one.t")
-    asked = table.join(open_kinds.select("h", "c").distinct(), ["h", "c"], "left_semi")
-    data = blocks(asked, length, keep_data=True).select("k1", "k2", "b", "h", "c", "t", "first", "last", "data")
-    data, data_path = materialize(data.join(open_kinds, ["k1", "k2", "b", "h", "c", "t"]), "repeats-data")
-    found = sorted_groups(data.where(F.col("kinds") <= GROUP), length)
-    large = data.where(F.col("kinds") > GROUP)
-    if not large.isEmpty():
-        found = found.unionByName(single_strings(large, length))
-    found, _ = materialize(found, "repeats-found")
-    discard(spark, data_path)
-    # Blocks that occur in several contexts are repeated as a whole; the others by what was found.
-    whole = cut.join(kinds.where("n > 1").select("k1", "k2", "b"), ["k1", "k2", "b"], "left_semi").select("h", "c", F.col("first").alias("low"), (F.col("last") + length).alias("high"))
-    part = cut.join(found, ["k1", "k2", "b"]).select("h", "c", "low", "high")
+    counted, counted_path = materialize(every.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), rep), "repeats-counted")
+    groups = counted.groupBy("h").agg(F.sum("copies").alias("rows"), F.count(F.lit(1)).alias("kinds")).where("rows > 1").select("h", "kinds")
+    met, _ = materialize(counted.join(groups, "h"), "repeats-anchored")
+    discard(spark, counted_path)
+    same = met.where("copies > 1").select(F.col("h").alias("k1"), F.col("c").alias("k2"), F.col("c").alias("b"), "copies", F.col("rep.lo").alias("t"), F.col("rep.lo").alias("first"), F.col("rep.hi").alias("last"), F.lit(None).cast("binary").alias("data"))
+    whole, _ = materialize(sorted_groups(same, length, BLOCK).select(F.col("k1").alias("h"), F.col("k2").alias("c"), "low", "high"), "repeats-whole")
+    table, table_path = materialize(with_bytes(texts, met.where("kinds > 1").select("h", "c", "rep"), length).dropDuplicates(["h", "c"]).withColumn("copies", F.lit(1)), "repeats-bytes")
+    part = found_in_blocks(table, length, BLOCK)
+    discard(spark, table_path)
     by_context = whole.unionByName(part).groupBy("h", "c").agg(F.collect_set(F.struct("low", "high")).alias("own"))
-    from_parts = runs.join(by_context, ["h", "c"]).select("tid", "p", F.explode("own").alias("x")).select("tid", (F.col("p") + F.col("x.low")).alias("low"), (F.col("p") + F.col("x.high")).alias("high"))
-    from_whole = runs.join(counted.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select("tid", (F.col("p") + F.col("lo")).alias("low"), (F.col("p") + F.col("hi") + length).alias("high"))
-    return from_whole.unionByName(from_parts).distinct()
+    return every.join(by_context, ["h", "c"]).select("tid", "p", F.explode("own").alias("x")).select("tid", (F.col("p") + F.col("x.low")).alias("low"), (F.col("p") + F.col("x.high")).alias("high")).distinct()
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -371,7 +386,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kept = with_columns_kept(docs, "doc_id", "text")
     kind = dict(kept.dtypes)["doc_id"]
     texts = kept.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", F.unhex(F.md5("text")))
-    stretches = repeated_stretches(texts.where(F.octet_length("text") >= length), length).groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("cuts"))
+    found = lambda: repeated_stretches(texts.where(F.octet_length("text") >= length), length).groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("cuts"))
+    stretches = build(docs.sparkSession, "repeats-cuts", found)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

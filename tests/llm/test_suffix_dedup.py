@@ -85,3 +85,8 @@ def test_production_length_and_empty_table(spark):
     docs = corpus(6, 40) + [(1000, "y" * 399), (1001, "y" * 399), (1002, "z" * 400), (1003, "z" * 400), (1004, "q" * 401)]
     assert ran(spark, docs, 400) == brute(docs, 400)
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_what_is_removed_comes_from_the_suffix_arrays(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "sorted_groups", lambda rows, length, width: rows.limit(0).selectExpr("k1", "k2", "b", "t as low", "t as high"))
+    assert all(r[2] == 0 for r in ran(spark, corpus(3, 30), 80))
