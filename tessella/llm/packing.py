@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import discard, ids_as_text, materialize, read_table, with_columns_kept
-from tessella.llm.token_counts import encoding
+from tessella.llm.token_counts import encoding, token_ids
 
 #: Token after each document.
 SEPARATOR = 0
@@ -53,7 +53,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int, tokenizer: str | None = Non
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = enc.encode(text, allowed_special="all") if isinstance(text, str) and text else []
+                ids = token_ids(enc, text) if isinstance(text, str) and text else []
                 raw = np.asarray([*ids, SEPARATOR], "<u4")
                 for k, (start, length) in enumerate(cut_points(len(raw), capacity)):
                     rows.append((pid, doc_id, k, start, length, zlib.crc32(raw[start : start + length].tobytes())))

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from operator import sub
 
@@ -30,6 +30,8 @@ SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50256
 #: Words whose prefix counts a worker keeps; on reaching it the memory is emptied, results don't change.
 WORD_CACHE = 400_000
+#: Bytes up to which a word's beginnings are kept for other words.
+SHARED = 24
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -45,17 +47,42 @@ def encoding(path: str | None = None) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte_bpe", pat_str=P.PATTERN, mergeable_ranks=ranks_of(path or P.path("byte_bpe_50k.tiktoken")), special_tokens={SPECIAL: SPECIAL_ID})
 
 
+def token_ids(enc: tiktoken.Encoding, text: str) -> list[int]:
+    """A text's ids; runs of white space that are too long for the encoding's own splitter are split by `regex`."""
+    try:
+        return enc.encode(text, allowed_special="all")
+    except ValueError:
+        words_of, out = splitter(), []
+        for k, part in enumerate(text.split(SPECIAL)):
+            out += [SPECIAL_ID] * (k > 0)
+            for word in words_of(part):
+                out += enc._encode_single_piece(word.encode())
+        return out
+
+
+@lru_cache(maxsize=1)
+def splitter() -> Callable[[str], list[str]]:
+    import public_tokenizers as P
+
+    return regex.compile(P.PATTERN).findall
+
+
 class PrefixCounter:
     """Exact token counts for every prefix (in characters) of texts."""
 
     def __init__(self, path: str | None = None) -> None:
-        import public_tokenizers as P
-
         self.encoding = encoding(path)
         self.ranks = self.encoding._mergeable_ranks
         self.token = {v: k for k, v in self.ranks.items()}
-        self.longest = max(map(len, self.ranks))
-        self.words_of = regex.compile(P.PATTERN).findall
+        ends: dict[bytes, set[int]] = {}
+        short = sorted({len(t) for t in self.ranks if len(t) < 3}, reverse=True)
+        for t in self.ranks:
+            if len(t) > 2:
+                ends.setdefault(t[-3:], set()).add(len(t))
+        #: By the last three bytes of some text: the sizes of the tokens that it may end with, the longest first.
+        self.sizes = {end: (*sorted(own, reverse=True), *short) for end, own in ends.items()}
+        self.short = tuple(short)
+        self.words_of = splitter()
         self.spaces = regex.compile(r"\s{2,}")
         self.steps: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -71,20 +98,21 @@ class PrefixCounter:
 
     def byte_counts(self, word: bytes) -> list[int]:
         """Tokens of word[:i] for i = 0 .. len(word), by the recurrence count[i] = count[i - len(last)] + 1."""
-        n, ranks, states = len(word), self.ranks, self.states
+        n, ranks, states, sizes, short, goes = len(word), self.ranks, self.states, self.sizes.get, self.short, self.pairs
         last, count = [-1] * (n + 1), [0] * (n + 1)
         if len(states) > 3 * WORD_CACHE:
             states.clear()
         for i in range(1, n + 1):
-            head = word[:i]
-            if (state := states.get(head)) is None:  # words share beginnings
-                for j in range(max(0, i - self.longest), i):
-                    t = ranks.get(word[j:i])
-                    if t is not None and (j == 0 or self.goes_with(last[j], t)):
+            state = states.get(word[:i]) if i < SHARED else None  # words share beginnings
+            if state is None:
+                for size in sizes(word[i - 3 : i], short) if i > 2 else range(i, 0, -1):
+                    j = i - size
+                    t = ranks.get(word[j:i]) if j >= 0 else None
+                    if t is not None and (j == 0 or goes.get((last[j], t)) or self.goes_with(last[j], t)):
                         state = t, count[j] + 1
                         break
-                if i < 24:
-                    states[head] = state
+                if i < SHARED:
+                    states[word[:i]] = state
             last[i], count[i] = state
         return count
 
@@ -135,7 +163,10 @@ class PrefixCounter:
             own = self.plain_table(piece)
             out.append(own[1:] + done)
             if k + 1 < len(pieces):
-                cut = [self.plain_table(piece + SPECIAL[:i])[-1] for i in range(1, len(SPECIAL))]
+                # Only the last two words can change with what follows.
+                tail = "".join(self.words_of(piece)[-2:])
+                before = int(own[-1]) - int(self.plain_table(tail)[-1])
+                cut = [before + self.plain_table(tail + SPECIAL[:i])[-1] for i in range(1, len(SPECIAL))]
                 out.append(np.asarray([*cut, own[-1] + 1], np.int32) + done)
                 done += int(own[-1]) + 1
         return np.concatenate(out)

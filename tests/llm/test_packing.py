@@ -76,3 +76,22 @@ def test_moves_keep_every_piece_once():
     for moved in (deme.crossed(a, b), deme.mutated(a), deme.evolved([a, b], 5)):
         assert (moved >= 0).all() and deme.fills(moved).max() <= 100 and (deme.fills(moved) > 0).all()
     assert deme.fitness(deme.evolved([a, b], 5)) <= deme.fitness(a)
+
+
+def test_crossover_beats_best_fit():
+    """Three pieces that fill a sequence exactly: best fit of descending lengths starts with pairs that leave gaps."""
+    rng = np.random.default_rng(11)
+    lengths = []
+    for _ in range(60):
+        a, b = sorted(rng.integers(250, 500, 2).tolist())
+        lengths += [a, b, 1000 - a - b]
+    deme = packing.Deme(np.asarray(lengths), 1000, 3)
+    plain = deme.fresh()
+    best = deme.evolved([], 40)
+    assert deme.fitness(best)[0] < deme.fitness(plain)[0]
+    assert deme.bound <= deme.fitness(best)[0]
+
+
+def test_very_long_texts(spark):
+    docs = [(1, "river " * 200_000), (2, " " * 700_000), (3, "q" * 300_000)]
+    check(packing.pack(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs, 2048)

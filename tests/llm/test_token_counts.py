@@ -3,7 +3,7 @@ import random
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tessella.llm.token_counts import PrefixCounter, count_tokens, fits, tokens_in
+from tessella.llm.token_counts import PrefixCounter, count_tokens, encoding, fits, token_ids, tokens_in
 
 
 def test_every_prefix_counts_as_the_library_has_it():
@@ -28,3 +28,11 @@ def test_rows(spark):
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert rows == sorted([(1, 9, 2, False), (1, 9, 2, False), (2, 0, 0, False), (3, 0, 0, False), (4, 300_000, len(lib.encode("word " * 60_000).ids), True), (None, 2, 1, False)], key=str)
     assert count_tokens(docs.limit(0)).count() == 0
+
+
+def test_a_million_of_one_character():
+    lib, counter = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), PrefixCounter()
+    random.seed(4)
+    for text in (" " * 1_000_000, "q" * 1_000_000, "".join(random.choice("abcdefgh") for _ in range(1_000_000)), "x" + " " * 1_000_000 + "y<|endoftext|> a", "\n" * 500_000 + "é" * 200_000):
+        ids = lib.encode(text, add_special_tokens=False).ids
+        assert token_ids(encoding(), text) == ids and counter.table(text)[-1] == len(ids)
