@@ -8,16 +8,7 @@ from pyspark.sql import functions as F
 from tessella.catalog.base import Query, table
 from tessella.functions import html, urls
 from tessella.operators import graph
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Through the session's own checkpoint folder; one of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-"))
-    return df.checkpoint()
+from tessella.operators.components import checkpointed as cut
 
 
 def page_links(spark: SparkSession, d: str) -> DataFrame:
@@ -115,12 +106,12 @@ def link_scores(spark: SparkSession, d: str) -> DataFrame:
 def order_chains(spark: SparkSession, d: str) -> DataFrame:
     """Orders redirect to one with their key halved, down to a loop of small keys."""
     k = F.col("o_orderkey")
-    edges = table(spark, d, "orders").where("o_orderkey <= 4000").select(k.alias("src"), F.when(k > 8, (k / 2).cast("bigint")).when(k == 5, 7).when(k == 7, 5).alias("dst")).where("dst is not null")
+    edges = table(spark, d, "orders").select(k.alias("src"), F.when(k > 8, (k / 2).cast("bigint")).when(k == 5, 7).when(k == 7, 5).alias("dst")).where("dst is not null")
     return graph.chains(edges, 20, cut=cut).select("src", "state", (F.size("path") - 1).cast("bigint").alias("steps"))
 
 
 ORDER_CHAINS = """
-WITH RECURSIVE e AS (SELECT src, dst FROM (SELECT o_orderkey AS src, CASE WHEN o_orderkey > 8 THEN o_orderkey // 2 WHEN o_orderkey = 5 THEN 7 WHEN o_orderkey = 7 THEN 5 END AS dst FROM orders WHERE o_orderkey <= 4000) WHERE dst IS NOT NULL),
+WITH RECURSIVE e AS (SELECT src, dst FROM (SELECT o_orderkey AS src, CASE WHEN o_orderkey > 8 THEN o_orderkey // 2 WHEN o_orderkey = 5 THEN 7 WHEN o_orderkey = 7 THEN 5 END AS dst FROM orders) WHERE dst IS NOT NULL),
 w(src, here, path, looped) AS (
   SELECT src, dst, [src, dst], src = dst FROM e
   UNION ALL SELECT w.src, e.dst, list_append(w.path, e.dst), list_contains(w.path, e.dst) FROM w JOIN e ON e.src = w.here WHERE NOT w.looped AND len(w.path) <= 20)

@@ -42,14 +42,14 @@ UNION ALL SELECT 'unkeyable_rows', count(*) FROM pages WHERE page_id % 50 = 2
 
 def labelled_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents with, without, and labels without a document, by source."""
-    docs, labels = table(spark, d, "documents").where("doc_id % 7 <> 0"), table(spark, d, "labels")
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     both = docs.select("doc_id", "source").join(labels, "doc_id", "full_outer")
     return both.groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.count("quality").alias("labelled"), F.count_if(F.col("quality").isNull()).alias("unlabelled"), F.coalesce(F.sum("toxic"), F.lit(0)).cast("bigint").alias("toxic"))
 
 
 LABELLED = """
 SELECT coalesce(d.source, 'none') AS source, count(l.quality) AS labelled, count(*) FILTER (l.quality IS NULL) AS unlabelled, CAST(coalesce(sum(l.toxic), 0) AS BIGINT) AS toxic
-FROM (SELECT * FROM documents WHERE doc_id % 7 <> 0) d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1
+FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1
 """
 
 

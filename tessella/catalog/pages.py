@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.catalog.base import Query, table
 from tessella.functions import html, scores, urls, values
 from tessella.operators import rollups
+from tessella.operators.shared import written
 from tessella.plans import compare, page_checks, segments, tasks
 from tessella.plans.audit import Audit, run_audit, site_of
 from tessella.plans.settings import Settings
@@ -127,23 +128,23 @@ FROM pages
 """
 
 
-def parsed_site(spark: SparkSession, d: str) -> DataFrame:
-    pages = crawled(spark, d)
-    read = html.parsed_pages(pages.select("url", "html"), PARSED)
-    base = pages.drop("html", "page_id").withColumn("size_bytes", F.lit(None).cast("bigint")).drop("size_bytes").join(pages.select("url", F.octet_length("html").alias("size_bytes")), "url")
-    return base.join(read, "url")
+ANSWERED = {"content_type": "text/html", "status_code": 200, "indexability": "Indexable"}
+
+
+def parsed_site(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """The pages as a crawl that was answered everywhere, each parsed once."""
+    pages = table(spark, d, "pages").select("url", F.col("page_id").alias("ordinal"), F.octet_length("html").cast("bigint").alias("size_bytes"), "html")
+    return html.parsed_pages(pages, [*PARSED, *more], ("ordinal", "size_bytes")).withColumns({k: F.lit(v) for k, v in ANSWERED.items()})
 
 
 def audit(spark: SparkSession, d: str) -> Audit:
     """One pass of the parser, whose result is written down for the checks."""
-    pages = parsed_site(spark, d)
-    found = html.link_rows(html.parsed_pages(table(spark, d, "pages"), ["links"]))
-    return run_audit(site_of(pages, {"links": found}, host=None), Settings())
+    read = written(parsed_site(spark, d, "links"), "parsed-pages")
+    return run_audit(site_of(read.drop("links"), {"links": html.link_rows(read)}, host=None), Settings())
 
 
 def audit_by_check(spark: SparkSession, d: str) -> DataFrame:
-    pages = parsed_site(spark, d)
-    return run_audit(site_of(pages), Settings()).by_check()
+    return run_audit(site_of(parsed_site(spark, d)), Settings()).by_check()
 
 
 def audit_statuses(spark: SparkSession, d: str) -> DataFrame:

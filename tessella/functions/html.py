@@ -414,21 +414,22 @@ def parse(url: str | None, html: str | None) -> dict[str, object] | None:
     return r.page(html)
 
 
-def parsed_pages(pages: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """url and the parsed fields asked for (all by default); every page is parsed once."""
+def parsed_pages(pages: DataFrame, fields: list[str] | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """url, the carried columns (without nulls) and the parsed fields asked for (all by default); every page is parsed once."""
     names = fields or list(FIELDS)
+    kinds = dict(pages.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [parse(u if isinstance(u, str) else None, h if isinstance(h, str) else None) or dict.fromkeys(FIELDS) for u, h in zip(batch["url"], batch["html"])]
-            out = {"url": batch["url"]}
+            out = {n: batch[n] for n in ("url", *carried)}
             for n in names:
                 kind = FIELDS[n]
                 out[n] = pd.Series([r[n] for r in rows], dtype="Int32" if kind == "int" else "boolean" if kind == "boolean" else "float64" if kind == "double" else object)
             yield pd.DataFrame(out)
 
-    schema = ", ".join(["url string", *(f"`{n}` {FIELDS[n]}" for n in names)])
-    return pages.select("url", "html").mapInPandas(run, schema)
+    schema = ", ".join(["url string", *(f"`{n}` {kinds[n]}" for n in carried), *(f"`{n}` {FIELDS[n]}" for n in names)])
+    return pages.select("url", *carried, "html").mapInPandas(run, schema)
 
 
 def link_rows(parsed: DataFrame) -> DataFrame:

@@ -7,15 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.shared import shared_dir
+
 #: Cuts a table's lineage; returns the reread table.
 Cut = Callable[[DataFrame], DataFrame]
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Through the session's own checkpoint folder; one of our own only where none is set and all run on this machine."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
-def connected_components(edges: DataFrame, cut: Cut = _checkpointed, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, cut: Cut = checkpointed, max_rounds: int = 60) -> DataFrame:
     """edges: a, b (longs, any direction); node and its component's least node, for each node of an edge between two nodes.
 
     A node's neighbours are linked to the least of them, first the greater ones, then the lesser; when nothing
@@ -31,7 +37,7 @@ def connected_components(edges: DataFrame, cut: Cut = _checkpointed, max_rounds:
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(below.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         stars = cut(small)
-        now = tuple(stars.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(20,0)"))).first())
+        now = tuple(stars.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
         if now == before:
             break
         before = now

@@ -8,14 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.components import Cut, _checkpointed
+from tessella.operators.components import Cut, checkpointed
 
 DAMPING, MAX_ROUNDS, SETTLED = 0.85, 200, 1e-10
 #: Rounds between two cuts of the lineage in power iteration.
 CUT_EVERY = 5
 
 
-def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, max_rounds: int = MAX_ROUNDS, settled: float = SETTLED, cut: Cut = _checkpointed) -> DataFrame:
+def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, max_rounds: int = MAX_ROUNDS, settled: float = SETTLED, cut: Cut = checkpointed) -> DataFrame:
     """nodes: node; edges: src, dst (parallel ones count, loops don't).  node, score; the scores sum to 1.
 
     A node without edges out gives its score to all.  Ends of edges that aren't among the nodes are nodes too.
@@ -45,7 +45,7 @@ def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, max_
     return ranks
 
 
-def discovery(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, cut: Cut = _checkpointed) -> DataFrame:
+def discovery(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, cut: Cut = checkpointed) -> DataFrame:
     """edges: src, dst, seq; seeds: node, place (their order).  node, hops, parent, place of all that is reached.
 
     Breadth first: of several ways of the same length the one through the earlier reached source, then the
@@ -99,7 +99,7 @@ def path_state(edges: DataFrame, nodes: DataFrame, seed: str | None, target: str
     return spark.createDataFrame([("unreachable_in_observed_graph" if more.isEmpty() else "limit_reached", None, None)], schema)
 
 
-def chains(edges: DataFrame, cap: int, cut: Cut = _checkpointed) -> DataFrame:
+def chains(edges: DataFrame, cap: int, cut: Cut = checkpointed) -> DataFrame:
     """edges: src, dst, one for each src.  src, path, state: `end` (the last of the path leads nowhere), `loop` (it leads back
     into the path) or `capped` (more than cap steps)."""
     step = edges.where("src is not null and dst is not null").groupBy("src").agg(F.min("dst").alias("dst")).select(F.col("src").alias("at"), F.col("dst").alias("to"))
@@ -120,7 +120,7 @@ def chains(edges: DataFrame, cap: int, cut: Cut = _checkpointed) -> DataFrame:
     return done.unionByName(last)
 
 
-def loops(edges: DataFrame, cut: Cut = _checkpointed) -> DataFrame:
+def loops(edges: DataFrame, cut: Cut = checkpointed) -> DataFrame:
     """edges: src, dst, one for each src.  node and loop (its least node) of each node on a cycle, by pointer doubling."""
     step = cut(edges.where("src is not null and dst is not null").groupBy("src").agg(F.min("dst").alias("dst")))
     n = step.count()

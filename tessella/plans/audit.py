@@ -6,12 +6,13 @@ the whole site are withheld after they ran, fired or not.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import values
+from tessella.operators.shared import written
 from tessella.plans import group_checks, link_checks, page_checks
 from tessella.plans.link_checks import Site
 from tessella.plans.registry import CHECKS, IMAGE_CHECKS, NEEDS_WHOLE_SITE, SEVERITY_RANK
@@ -80,7 +81,9 @@ def merged(findings: DataFrame) -> DataFrame:
 
 
 def run_audit(site: Site, settings: Settings | None = None) -> Audit:
+    """Pages and frames are written down once, so that the checks, each of which reads them, don't make them anew; so are the findings."""
     s = settings or Settings()
+    site = replace(site, pages=written(site.pages, "audit-pages"), frames={k: written(f, f"audit-{k}") for k, f in site.frames.items()})
     spark = site.spark
     fields = site.fields | ({"url"} if "url" in site.pages.columns else set())
     states: dict[str, tuple[str, str | None]] = {}
@@ -110,7 +113,7 @@ def run_audit(site: Site, settings: Settings | None = None) -> Audit:
             out = out.unionByName(group_checks.GROUP_CHECKS[name](pages, s))
         elif name in link_checks.SITE_CHECKS:
             out = out.unionByName(link_checks.SITE_CHECKS[name](site, s))
-    out = merged(out)
+    out = written(merged(out), "audit-findings")
     unmeasured = [c for c in ("TITLE_MISSING", "DESC_MISSING", "H1_MISSING", "CANONICAL_MISSING") if c in chosen]
     registry = spark.createDataFrame([(c, CHECKS[c].severity, *states.get(c, (None, None))) for c in CHECKS], "check string, severity string, state string, reason string")
     fired = out.groupBy("check").agg(F.count(F.lit(1)).alias("issues"))

@@ -98,6 +98,12 @@ def test_components(spark):
     assert got == want
 
 
+def test_components_of_large_and_negative_ids(spark):
+    ids = [(2**62 + k * 2**36, 2**62 + (k + 1) * 2**36) for k in range(400)] + [(-(2**62) - k, -(2**62) - k - 1) for k in range(50)] + [(2**63 - 1, -(2**63))]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(ids, "a bigint, b bigint")).collect()}
+    assert len(got) == 401 + 51 + 2 and got[2**62 + 400 * 2**36] == 2**62 and got[-(2**62)] == -(2**62) - 50 and got[2**63 - 1] == -(2**63)
+
+
 def test_link_measures(spark):
     rows = [("a", "x", "t", "nav", 1), ("a", "x", "t", "nav", 2), ("b", "x", "t", "footer", 3), ("b", "y", "u", None, 4), ("c", "y", "u", "nav", 5), ("a", "z", "t", "content", 6)]
     links = spark.createDataFrame(rows, "source string, destination string, anchor string, position string, seq bigint")
