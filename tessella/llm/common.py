@@ -151,7 +151,7 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 #: Rows of a table of ids, 16 bytes each at most, that may be sent to every task.
-SENT_ROWS = 2_000_000
+SENT_ROWS = 500_000
 
 
 def sized(ids: DataFrame, tag: str) -> DataFrame:

@@ -31,6 +31,8 @@ from tessella.llm.common import build, materialize, read_table, with_columns_kep
 MIN_LINES = 2
 #: Characters from which a line is deleted as a later copy by itself: a passage of some fifty words.
 LONG_LINE = 300
+#: Bytes of all documents' cuts that may be sent to every task.
+SENT_BYTES = 16 << 20
 
 
 def visible(line: Column) -> Column:
@@ -103,6 +105,9 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     whole = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*columns).alias("doc")) if {"doc_id", "text"} <= set(docs.columns) else kept.select(F.monotonically_increasing_id().alias("row"), F.struct("doc_id", "text").alias("doc"))
     rows, _ = materialize(whole, "line-documents")
     cuts = build(docs.sparkSession, "line-cuts", lambda: cuts_of(rows.select("row", "doc.doc_id", "doc.text"), min_lines))
+    # Few cuts go to the documents; only many are worth moving the documents for.
+    size = cuts.agg(F.sum(F.size("cuts") * 8 + 32)).first()[0] or 0
+    cuts = F.broadcast(cuts) if size <= SENT_BYTES else cuts.hint("merge")
     text_lines = F.split("doc.text", "\n")
     starts = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda c: c["high"] + 1))
     ends = F.concat(F.transform("cuts", lambda c: c["low"]), F.array(F.size("text_lines")))

@@ -43,13 +43,15 @@ from tessella.operators.components import connected_components
 
 #: Bits of a bitmap at least and at most; in between the next power of two above four times the size.
 LEAST_BITS, MOST_BITS = 64, 1 << 18
-#: Keys of a class, the least of those still open, by which a pair is known to have met in an earlier tile.
-FIRST_KEYS = 32
+#: Classes of a tile, or of one of its blocks, that are compared with each other in one group, about.
+TILE = 256
+#: Parts of the keys that are counted one after the other, so that a part only of their shuffle is on disk.
+TURNS = 3
 ROUNDS = 2
 #: From so many parts on, some more are dealt than a link can differ in.
 LEAST_PARTS = 8
 #: Pairs whose ids are sent to all tasks to pick texts and arrays, 16 bytes each; more are joined by a shuffle.
-SENT_IDS = 2_000_000
+SENT_IDS = 500_000
 
 class Bands:
     """Bands of sizes: whatever may link to a set of one band lies in it, in the next, or in the one before."""
@@ -143,9 +145,9 @@ def tile_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def shingled(docs: DataFrame, n: int, percent: int, numbered: bool) -> DataFrame:
-    """docs: doc_id, text, th (hash of the text), row (a unique number, if numbered).  A row for each document: uid,
-    doc_id, th, n, k1, k2 (hash of the set), keys (of its tiles), bits."""
+def shingled(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """docs: doc_id, text, th (hash of the text).  A row for each document: uid, doc_id, th, n, k1, k2 (hash of the set),
+    keys (of its tiles), bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, bands = Shingler(n), Bands(percent)
@@ -153,8 +155,8 @@ def shingled(docs: DataFrame, n: int, percent: int, numbered: bool) -> DataFrame
         nothing = np.empty(0, np.int64)
         for batch in batches:
             rows = []
-            for doc_id, given, th, own in zip(batch["doc_id"], batch["row"], batch["th"], shingle.all(batch["text"].tolist())):
-                rows.append((int(given) if numbered else own_uid, doc_id, int(th), len(own), *set_hash(own), *((tile_keys(own, bands), bitmap(own)) if len(own) else (nothing, nothing))))
+            for doc_id, th, own in zip(batch["doc_id"], batch["th"], shingle.all(batch["text"].tolist())):
+                rows.append((own_uid, doc_id, int(th), len(own), *set_hash(own), *((tile_keys(own, bands), bitmap(own)) if len(own) else (nothing, nothing))))
                 own_uid += 1
             yield pd.DataFrame(rows, columns=["uid", "doc_id", "th", "n", "k1", "k2", "keys", "bits"])
 
@@ -196,24 +198,29 @@ def within_bound(percent: int, a: str = "x", b: str = "y") -> Column:
 class Join:
     """The state of one join: classes, their arrays, links found so far."""
 
-    def __init__(self, docs: DataFrame, n: int, percent: int, row: str | None = None) -> None:
+    def __init__(self, docs: DataFrame, n: int, percent: int) -> None:
         self.percent, self.spark = percent, docs.sparkSession
-        kept = with_columns_kept(docs, "doc_id", "text", *([row] if row else [])).withColumn("row", F.col(row) if row else F.lit(0))
-        self.n, self.docs = n, kept.select("doc_id", "row", "text", F.xxhash64("text").alias("th"))
-        sets, path = materialize(shingled(self.docs, n, percent, row is not None), "join-sets")
+        self.n, self.docs = n, with_columns_kept(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("th"))
+        sets, path = materialize(shingled(self.docs, n, percent), "join-sets")
         self.members, _ = materialize(sets.select("doc_id", "n", "k1", "k2", "uid", "th"), "join-members")
         self.classes, _ = materialize(self.members.where("n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("low"), F.first("n").alias("n"), F.min("th").alias("th")), "join-classes")
         chosen = self.classes.select("cid")
-        chosen = F.broadcast(chosen) if chosen.count() <= SENT_IDS else chosen
-        self.signatures, _ = materialize(sets.select(F.col("uid").alias("cid"), "n", "bits", "keys").join(chosen, "cid", "left_semi"), "join-signatures")
-        discard(self.spark, path)
+        self.signatures = sets.select(F.col("uid").alias("cid"), "n", "bits", "keys")
+        if chosen.count() <= SENT_IDS:
+            self.signatures = self.signatures.join(F.broadcast(chosen), "cid", "left_semi")
+        else:  # too many to send: they are joined once
+            self.signatures, _ = materialize(self.signatures.join(chosen, "cid", "left_semi"), "join-signatures")
+            discard(self.spark, path)
         self.links: DataFrame | None = None
 
     def tiles(self) -> tuple[DataFrame, DataFrame]:
         """a, b: the two classes of tiles of two; and key, cid, n: the classes of the tiles of more."""
         rows = self.signatures.select("cid", "n", F.explode("keys").alias("key"))
-        counted = rows.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b")
-        counted, _ = materialize(counted, "join-counted")
+        counted = None
+        for turn in range(TURNS):
+            some = rows.where(F.pmod("key", F.lit(TURNS)) == turn).groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b")
+            some, _ = materialize(some, "join-counted")
+            counted = some if counted is None else counted.unionByName(some)
         large = counted.where("size > 2").select("key")
         sent = F.broadcast if large.count() <= SENT_IDS else (lambda df: df)
         more, _ = materialize(rows.join(sent(large), "key", "left_semi").select("key", "cid", "n"), "join-tiles")
@@ -289,13 +296,52 @@ class Join:
         tiles, _ = materialize(self.several(tiles), "join-open")
         if tiles.isEmpty():
             return
-        # A pair that meets in many tiles is passed on by the first of them: each class carries its first keys.
-        firsts = tiles.groupBy("cid").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_KEYS).alias("firsts"))
-        before = F.filter("firsts", lambda k: k < F.col("key"))
-        full = tiles.join(self.signatures.select("cid", "bits"), "cid").join(firsts, "cid").select("key", F.struct("cid", "n", "comp", "bits", before.alias("before")).alias("one"))
-        left, right = full.withColumnRenamed("one", "x"), full.withColumnRenamed("one", "y")
-        met = left.join(right, "key").where((F.col("x.cid") < F.col("y.cid")) & (F.col("x.comp") != F.col("y.comp")) & ~F.arrays_overlap("x.before", "y.before") & alike_in_size(F.col("x.n"), F.col("y.n"), self.percent) & within_bound(self.percent))
-        self.grown(tiles, self.verify(met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()))
+        self.grown(tiles, self.verify(self.compared(tiles)))
+
+    def compared(self, tiles: DataFrame) -> DataFrame:
+        """a, b: the pairs of different components in some tile that sizes and bitmaps leave.
+
+        A tile of more than TILE classes is dealt to blocks, and its blocks meet two by two, each in a group of its own."""
+        sizes = tiles.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
+        rows = tiles.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+        rows = rows.select("key", "cid", "n", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "cid", "n", "comp").join(self.signatures.select("cid", "bits"), "cid")
+        percent = self.percent
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            kept: pd.DataFrame | None = None
+
+            def pairs(rows: pd.DataFrame, groups: list[tuple[int, int]]) -> pd.DataFrame:
+                cid, n, comp, own = (rows[c].to_numpy(np.int64) for c in ("cid", "n", "comp", "own"))
+                one = rows["low"].to_numpy() == rows["high"].to_numpy()
+                bits, found = rows["bits"].tolist(), []
+                for a, b in groups:
+                    width = min(len(x) for x in bits[a:b])
+                    signs = np.stack([x.view(np.uint64) if len(x) == width else np.bitwise_or.reduce(x.view(np.uint64).reshape(-1, width)) for x in bits[a:b]])
+                    for i in range(a, b - 1):
+                        rest = slice(i + 1, b)
+                        fits = (comp[rest] != comp[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
+                        if not one[i]:
+                            fits &= own[rest] != own[i]
+                        j = np.flatnonzero(fits) + i + 1
+                        if len(j):
+                            mine, theirs = signs[i - a], signs[j - a]
+                            common = np.minimum(n[i] - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64), n[j] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64))
+                            j = j[100 * common >= percent * (n[i] + n[j] - common)]
+                            found.append(np.stack([np.minimum(cid[i], cid[j]), np.maximum(cid[i], cid[j])], axis=1))
+                return pd.DataFrame(np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64), columns=["a", "b"])
+
+            for batch in batches:
+                rows = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
+                names = rows[["key", "low", "high"]].to_numpy(np.int64)
+                edges = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist()]
+                kept = rows.iloc[edges[-1] :].reset_index(drop=True)
+                yield pairs(rows, list(zip(edges[:-1], edges[1:])))
+            if kept is not None:
+                yield pairs(kept, [(0, len(kept))])
+
+        met = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").select("key", "low", "high", "own", "cid", "n", "comp", "bits")
+        return met.mapInPandas(run, "a long, b long").distinct()
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id, class_id."""
@@ -305,15 +351,15 @@ class Join:
             classes = self.classes.join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         lows = classes.groupBy("component").agg(F.min("low").alias("component_id"))
         named = classes.join(lows, "component").select("k1", "k2", "component_id", F.col("cid").alias("class_id"), F.col("component").alias("group"))
-        return self.members.join(named, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class_id", "group", F.col("uid").alias("row"))
+        return self.members.join(named, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class_id", "group", F.col("uid").alias("row"), "th")
 
 
-def join(docs: DataFrame, n: int = 3, percent: int = 90, row: str | None = None) -> DataFrame:
+def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links), class_id (the same for equal sets), group (a
-    number of the component) and row (a number of the row: that of the column named, if one is)."""
+    number of the component), row (a number that each row has alone) and th (xxhash64 of the text)."""
 
     def steps() -> DataFrame:
-        work = Join(docs, n, percent, row)
+        work = Join(docs, n, percent)
         work.link()
         return work.result()
 

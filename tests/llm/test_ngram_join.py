@@ -69,6 +69,7 @@ def test_against_brute_force(spark, monkeypatch, rounds):
 
 def test_other_parameters_and_shuffled_ids(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LEAST_BITS", 4096)
+    monkeypatch.setattr(ngram_join, "TILE", 3)
     docs = corpus(11, 25)
     assert ran(spark, docs, 5, 80) == brute(docs, 5, 80)
 

@@ -55,3 +55,21 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_rows_and_clashing_names(spark, tmp_path):
+    rng = random.Random(5)
+    texts = [prose(rng, 30) for _ in range(12)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(3, texts[3]), (3, prose(rng, 24)), (None, texts[5]), (None, prose(rng, 25)), (None, "")]
+    names = ["text_hash", "th", "row", "group", "rejected_key", "gone_row_key", "leaked", "doc", "kept", "cuts", "uid", "key", "verdict_key", "pid"]
+    table = spark.createDataFrame([(d, t, "en", "s", len(t), *range(len(names))) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    spark.createDataFrame([(1, texts[7])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    d, sizes = table, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        d = spark.createDataFrame(stage(spark, d, str(tmp_path)).collect(), table.schema)
+        assert d.columns == table.columns, name
+        sizes.append(sorted((-1 if r.doc_id is None else r.doc_id, len(r.text.split())) for r in d.collect()))
+    assert sizes[0] == sorted([*((k, 30) for k in range(12)), (3, 30), (3, 24), (-1, 30), (-1, 25)])
+    assert sizes[2] == sorted([*((k, 30) for k in range(12)), (3, 24), (-1, 25)])
+    assert sizes[3] == [x for x in sizes[2] if x != (7, 30)]
+    assert corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).count() == len(sizes[3])
