@@ -75,13 +75,21 @@ def deduplicated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    number = unused(docs, "row_number")
-    gone = unused(docs, "gone_row_number")
-    rows, _ = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "pipeline-rows")
-    placed = ngram_join.join(rows, SHINGLE_WORDS, SIMILARITY_PERCENT, row=number).where("n_shingles > 0")
-    stays = placed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")).select("best.row")
-    goes = placed.select("row").join(stays, "row", "left_anti").select(F.col("row").alias(gone))
-    return rows.join(sized(goes, "pipeline-goes"), F.col(number) == F.col(gone), "left_anti").drop(number)
+    """A row is known by its id and its text's hash; of rows that have both in common one stays, if any does."""
+    name = unused(docs, "text_hash")
+    placed = ngram_join.join(docs, SHINGLE_WORDS, SIMILARITY_PERCENT).where("n_shingles > 0").select("group", "doc_id", "th", "row")
+    keys = placed.groupBy("group", "doc_id", "th").agg(F.count(F.lit(1)).alias("rows"), F.min("row").alias("row"))
+    best = keys.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")).select("group", F.col("best.row").alias("stays"))
+    judged, _ = materialize(keys.join(best, "group").select("doc_id", "th", "rows", (F.col("row") == F.col("stays")).alias("stays")), "pipeline-groups")
+    hashed = docs.withColumn(name, F.xxhash64("text"))
+
+    def among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        return rows.join(ids, hashed["doc_id"].eqNullSafe(ids["doc_id"]) & (hashed[name] == ids["th"]), how)
+
+    rest = among(hashed, sized(judged.where("not stays").select("doc_id", "th"), "pipeline-goes"), "left_anti")
+    again = sized(judged.where("stays and rows > 1").select("doc_id", "th"), "pipeline-again")
+    once = among(hashed, again, "left_semi").dropDuplicates(["doc_id", name])
+    return among(rest, again, "left_anti").unionByName(once).drop(name)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
