@@ -182,19 +182,28 @@ class Network:
 
     def moved(self, name: str, g: np.ndarray, at: object = slice(None)) -> None:
         """One step of Adagrad along a gradient, at some places of a weight."""
-        squares = self.squares[name][at]
-        squares += g * g
+        if isinstance(at, slice):
+            squares, room = self.squares[name], self.room[name]
+        else:
+            squares, room = self.squares[name][at], self.room[name][: len(g)]
+        np.multiply(g, g, out=room)
+        squares += room
         if not isinstance(at, slice):
             self.squares[name][at] = squares
-        g = g / np.sqrt(squares)
-        g *= RATE
-        self.w[name][at] -= g
+        np.sqrt(squares, out=room)
+        np.divide(g, room, out=room)
+        room *= RATE
+        if isinstance(at, slice):
+            self.w[name] -= room
+        else:
+            self.w[name][at] -= room
 
     def learn(self, sequence: np.ndarray, weight: np.ndarray | None = None) -> None:
         """One step on the mean negative log-probability of a padded sequence's slots, weighted if asked for."""
         w, size, n = self.w, VOCABULARY // CLUSTERS, len(sequence) - 2 * SIDE
         if self.squares is None:
             self.squares = {k: np.full(v.shape, 1e-4, np.float32) for k, v in w.items()}
+            self.room = {k: np.empty(v.shape, np.float32) for k, v in w.items()}
         inside = sequence[SIDE:-SIDE]
         chosen = np.flatnonzero(inside != PAD if weight is None else (inside != PAD) & (weight > 0))
         if not len(chosen):
