@@ -28,7 +28,7 @@ def log_lines(spark: SparkSession, d: str) -> DataFrame:
 LOGS = """
 logs AS (
   SELECT '10.0.0.' || CAST(user_id % 200 AS VARCHAR) AS ip, ts, '/' || event_type || '/' || CAST(event_id % 40 AS VARCHAR) AS path, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, event_id % 1000 AS bytes,
-         CASE user_id % 5 WHEN 0 THEN 'Googlebot' WHEN 1 THEN 'GPTBot' WHEN 2 THEN 'Bingbot' WHEN 4 THEN 'AhrefsBot' END AS bot, CASE user_id % 5 WHEN 0 THEN 'google' WHEN 1 THEN 'ai' WHEN 2 THEN 'bing' WHEN 4 THEN 'seo' ELSE 'other' END AS family, event_type
+         CASE user_id % 5 WHEN 0 THEN 'Googlebot' WHEN 1 THEN 'GPTBot (OpenAI)' WHEN 2 THEN 'Bingbot' WHEN 4 THEN 'AhrefsBot' END AS bot, CASE user_id % 5 WHEN 0 THEN 'googlebot' WHEN 1 THEN 'ai' WHEN 2 THEN 'bingbot' WHEN 4 THEN 'seo-tool' ELSE 'other' END AS family, event_type
   FROM events)"""
 
 

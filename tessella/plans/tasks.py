@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.plans.settings import Settings
@@ -21,8 +21,15 @@ def tasks(findings: DataFrame, settings: Settings) -> DataFrame:
     if t["exclude_checks"]:
         chosen = chosen.where(~F.col("check").isin(*t["exclude_checks"]))
     by = ["check", "severity"] + (["target_url"] if t["group_by"] == "issue" else [])
-    grouped = chosen.groupBy(*by).agg(F.countDistinct("target_url").alias("affected"), F.sum("occurrences").alias("occurrences"), F.sort_array(F.collect_set("target_url")).alias("all_urls")).where(F.col("occurrences") >= t["min_occurrences"])
+    grouped = chosen.groupBy(*by).agg(F.countDistinct("target_url").alias("affected"), F.sum("occurrences").alias("occurrences")).where(F.col("occurrences") >= t["min_occurrences"])
     n = int(t["max_urls_per_task"])
-    key = F.concat_ws("|", F.col("check"), F.col("target_url")) if t["group_by"] == "issue" else F.col("check")
-    out = grouped.select(key.alias("key"), "check", "severity", _map(t["priority_map"])[F.col("severity")].alias("priority"), _map(t["effort_map"])[F.col("severity")].alias("effort"), "affected", "occurrences", F.slice("all_urls", 1, n).alias("urls"), F.greatest(F.size("all_urls") - n, F.lit(0)).alias("more"))
+    if t["group_by"] == "issue":
+        key, shown = F.concat_ws("|", F.col("check"), F.col("target_url")), F.filter(F.array("target_url"), lambda u: u.isNotNull())
+    else:  # only the first of a check's pages are gathered
+        nth = F.row_number().over(Window.partitionBy("check", "severity").orderBy("target_url"))
+        first = chosen.where("target_url is not null").select("check", "severity", "target_url").distinct().withColumn("nth", nth).where(F.col("nth") <= n)
+        urls = first.groupBy("check", "severity").agg(F.sort_array(F.collect_list("target_url")).alias("first_urls"))
+        grouped = grouped.join(urls, ["check", "severity"], "left")
+        key, shown = F.col("check"), F.coalesce("first_urls", F.array().cast("array<string>"))
+    out = grouped.select(key.alias("key"), "check", "severity", _map(t["priority_map"])[F.col("severity")].alias("priority"), _map(t["effort_map"])[F.col("severity")].alias("effort"), "affected", "occurrences", F.slice(shown, 1, n).alias("urls"), F.greatest(F.col("affected") - n, F.lit(0)).cast("int").alias("more"))
     return out.orderBy("priority", F.col("affected").desc(), "key")

@@ -12,17 +12,62 @@ from tessella.functions import urls
 from tessella.schemas import LOGS
 
 LINE = r'^(\S+) \S+ \S+ \[([^\]]+)\] "([A-Z]+) ([^" ]+)[^"]*" (\d{3}) (\d+|-)(?: "([^"]*)" "([^"]*)")?'
-#: Crawlers by what their agent names contain, in order; the first that fits counts.
+#: Crawlers by patterns that are searched for in agent names, in order; the first that fits counts.
 BOTS: tuple[tuple[str, str, str], ...] = (
-    ("googlebot-image", "Googlebot-Image", "google"), ("googlebot-news", "Googlebot-News", "google"), ("googlebot-video", "Googlebot-Video", "google"), ("google-extended", "Google-Extended", "ai"),
-    ("googleother", "GoogleOther", "google"), ("adsbot-google", "AdsBot-Google", "google"), ("mediapartners-google", "Mediapartners-Google", "google"), ("google-inspectiontool", "Google-InspectionTool", "google"), ("googlebot", "Googlebot", "google"),
-    ("bingbot", "Bingbot", "bing"), ("msnbot", "msnbot", "bing"), ("bingpreview", "BingPreview", "bing"), ("yandeximages", "YandexImages", "yandex"), ("yandexmobilebot", "YandexMobileBot", "yandex"), ("yandexmetrika", "YandexMetrika", "yandex"), ("yandex", "YandexBot", "yandex"),
-    ("baiduspider", "Baiduspider", "baidu"), ("duckduckbot", "DuckDuckBot", "duckduckgo"), ("applebot", "Applebot", "apple"), ("petalbot", "PetalBot", "petal"), ("mail.ru_bot", "Mail.RU_Bot", "mailru"), ("seznambot", "SeznamBot", "seznam"),
-    ("oai-searchbot", "OAI-SearchBot", "ai"), ("chatgpt-user", "ChatGPT-User", "ai"), ("gptbot", "GPTBot", "ai"), ("perplexitybot", "PerplexityBot", "ai"), ("perplexity-user", "Perplexity-User", "ai"), ("anthropic-ai", "anthropic-ai", "ai"), ("ccbot", "CCBot", "ai"),
-    ("bytespider", "Bytespider", "ai"), ("amazonbot", "Amazonbot", "ai"), ("meta-externalagent", "Meta-ExternalAgent", "ai"), ("cohere-ai", "cohere-ai", "ai"), ("diffbot", "Diffbot", "ai"), ("youbot", "YouBot", "ai"),
-    ("ahrefsbot", "AhrefsBot", "seo"), ("semrushbot", "SemrushBot", "seo"), ("mj12bot", "MJ12bot", "seo"), ("dotbot", "DotBot", "seo"), ("blexbot", "BLEXBot", "seo"), ("serpstatbot", "SerpstatBot", "seo"), ("dataforseobot", "DataForSeoBot", "seo"), ("screaming frog", "Screaming Frog", "seo"),
-    ("facebookexternalhit", "facebookexternalhit", "social"), ("twitterbot", "Twitterbot", "social"), ("linkedinbot", "LinkedInBot", "social"), ("telegrambot", "TelegramBot", "social"), ("slackbot", "Slackbot", "social"), ("pinterestbot", "Pinterestbot", "social"), ("discordbot", "Discordbot", "social"), ("whatsapp", "WhatsApp", "social"),
-)
+    (r"Googlebot[^)]*Mobile|Mobile[^)]*Googlebot", "Googlebot Smartphone", "googlebot"),
+    (r"Googlebot-Image", "Googlebot Image", "googlebot"),
+    (r"Googlebot-Video", "Googlebot Video", "googlebot"),
+    (r"Googlebot-News", "Googlebot News", "googlebot"),
+    (r"AdsBot-Google-Mobile", "AdsBot Google Mobile", "googlebot"),
+    (r"AdsBot-Google", "AdsBot Google", "googlebot"),
+    (r"Mediapartners-Google", "Mediapartners (AdSense)", "googlebot"),
+    (r"Google-InspectionTool", "Google InspectionTool", "googlebot"),
+    (r"Google-Extended", "Google-Extended (Gemini)", "ai"),
+    (r"GoogleOther", "GoogleOther", "googlebot"),
+    (r"APIs-Google", "APIs-Google", "googlebot"),
+    (r"FeedFetcher-Google", "FeedFetcher-Google", "googlebot"),
+    (r"Googlebot", "Googlebot", "googlebot"),
+    (r"BingPreview", "BingPreview", "bingbot"),
+    (r"adidxbot", "AdIdxBot (Bing Ads)", "bingbot"),
+    (r"bingbot", "Bingbot", "bingbot"),
+    (r"msnbot", "MSNBot", "bingbot"),
+    (r"YandexMobileBot", "YandexMobileBot", "yandexbot"),
+    (r"YandexImages", "YandexImages", "yandexbot"),
+    (r"YandexBot", "YandexBot", "yandexbot"),
+    (r"Yandex(?:Accessibility|Metrika|Webmaster|[A-Za-z]+)?", "Yandex (other)", "yandexbot"),
+    (r"DuckDuckBot|DuckDuckGo-Favicons-Bot", "DuckDuckBot", "search"),
+    (r"Baiduspider", "Baiduspider", "search"),
+    (r"Sogou web spider", "Sogou", "search"),
+    (r"Exabot", "Exabot", "search"),
+    (r"Applebot", "Applebot", "search"),
+    (r"SeznamBot", "SeznamBot", "search"),
+    (r"PetalBot", "PetalBot", "search"),
+    (r"GPTBot", "GPTBot (OpenAI)", "ai"),
+    (r"OAI-SearchBot", "OAI-SearchBot (OpenAI)", "ai"),
+    (r"ChatGPT-User", "ChatGPT-User", "ai"),
+    (r"ClaudeBot|Claude-Web|anthropic-ai", "ClaudeBot (Anthropic)", "ai"),
+    (r"PerplexityBot", "PerplexityBot", "ai"),
+    (r"CCBot", "CCBot (Common Crawl)", "ai"),
+    (r"Bytespider", "Bytespider (ByteDance)", "ai"),
+    (r"Amazonbot", "Amazonbot", "ai"),
+    (r"facebookexternalhit|facebookcatalog|meta-externalagent", "Facebook", "social"),
+    (r"Twitterbot", "Twitterbot", "social"),
+    (r"LinkedInBot", "LinkedInBot", "social"),
+    (r"Slackbot", "Slackbot", "social"),
+    (r"WhatsApp", "WhatsApp", "social"),
+    (r"TelegramBot", "TelegramBot", "social"),
+    (r"Discordbot", "Discordbot", "social"),
+    (r"Pinterest(?:bot)?", "Pinterestbot", "social"),
+    (r"AhrefsBot", "AhrefsBot", "seo-tool"),
+    (r"SemrushBot", "SemrushBot", "seo-tool"),
+    (r"MJ12bot", "MJ12bot (Majestic)", "seo-tool"),
+    (r"DotBot", "DotBot (Moz)", "seo-tool"),
+    (r"rogerbot", "rogerbot (Moz)", "seo-tool"),
+    (r"BLEXBot", "BLEXBot", "seo-tool"),
+    (r"DataForSeoBot", "DataForSeoBot", "seo-tool"),
+    (r"Screaming Frog SEO Spider", "Screaming Frog", "seo-tool"),
+    (r"\b(bot|crawler|spider|crawl)\b", "Other bot", "other"),
+)
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -67,13 +112,17 @@ def read_w3c(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bot(agent: Column) -> Column:
-    """(name, family) of the crawler; null for others."""
-    a = F.lower(F.coalesce(agent, F.lit("")))
-    out = None
-    for part, name, family in BOTS:
-        value = F.struct(F.lit(name).alias("name"), F.lit(family).alias("family"))
-        out = F.when(a.contains(part), value) if out is None else out.when(a.contains(part), value)
-    return out
+    """(name, family) of the crawler; null for others, and for agents that are blank or `-`."""
+
+    def place(a: Column) -> Column:
+        out = F.when(F.coalesce(a, F.lit("-")).isin("", "-"), F.lit(None))
+        for k, (pattern, _, _) in enumerate(BOTS):
+            out = out.when(a.rlike(f"(?i){pattern}"), k)
+        return out
+
+    names, families = (F.array(*[F.lit(b[k]) for b in BOTS]) for k in (1, 2))
+    named = lambda k: F.when(k.isNotNull(), F.struct(F.get(names, k).alias("name"), F.get(families, k).alias("family")))
+    return urls.let(urls.let(agent, place), named)
 
 
 def with_bots(logs: DataFrame) -> DataFrame:

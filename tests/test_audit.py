@@ -200,3 +200,25 @@ def test_counterparts(spark):
     got = {r.url: (r.counterpart, r.basis) for r in segments.counterparts(p, alternates, "/en/", "/pl/").collect()}
     assert got == {"https://x/en/a": ("https://x/pl/a", "declared"), "https://x/en/b": ("https://x/pl/b", "mirrored"), "https://x/en/c": (None, "missing")}
     assert segments.counterparts(p, alternates.limit(0), "/en/", "/pl/").where(F.col("basis") == "unmeasured").count() == 3
+
+
+def test_documents(spark, tmp_path):
+    from tessella.plans import documents
+
+    a = run_audit(site_of(pages(spark, *({"url": f"http://x/{k}", "title": None, "word_count": 10} for k in range(4)))), Settings({"checks": {"URL_UPPERCASE": {"enabled": False}}}))
+    documents.write_audit(a, str(tmp_path / "audit"))
+    back = documents.read_audit(spark, str(tmp_path / "audit"))
+    one = back["audit"].first()
+    assert one.schema_version == "2.0" and one.summary.pages == 4 and one.summary.issues == a.findings.count() == back["issues"].count()
+    assert [r.check for r in one.run.checks_disabled] == ["URL_UPPERCASE"] and len(one.run.checks_skipped) > 50
+    assert {(r.check, r.target_url) for r in back["issues"].collect()} == fired(a) and {r.url for r in back["pages"].collect()} == {f"http://x/{k}" for k in range(4)}
+    text = documents.audit_markdown(a)
+    assert "| HTTP_URL | warning | 4 | 4 |" in text and "- URL_UPPERCASE: switched off in the settings" in text
+    t = tasks(a.findings, Settings({"tasks": {"max_urls_per_task": 2}}))
+    documents.write_tasks(t, str(tmp_path / "tasks"))
+    assert spark.read.json(str(tmp_path / "tasks")).count() == t.count()
+    md = {r.key: r.markdown for r in documents.tasks_markdown(t).collect()}
+    assert "- http://x/0\n- http://x/1\n- and 2 more" in md["HTTP_URL"]
+    spark.createDataFrame([("1.0",)], "schema_version string").write.json(str(tmp_path / "old" / "audit"))
+    with pytest.raises(ValueError, match="version"):
+        documents.read_audit(spark, str(tmp_path / "old"))

@@ -157,3 +157,55 @@ def test_scan_folder(spark, tmp_path):
     assert {r.table: r.rows for r in storage.scan_status(scan).collect()}["responses"] == 2
     with pytest.raises(FileNotFoundError):
         storage.Scan(spark, str(tmp_path))
+
+
+def test_crawl_scope(spark):
+    from tessella.operators.scope import Scope, rejection
+
+    s = Scope("shop.example.co.uk", "registrable_domain", ("other.org",), ("bad.example.co.uk",), (r"\?sort=",), (r"/a", r"/b"), ("docs",))
+    rows = [
+        ("https://www.example.co.uk/a", "docs", ""), ("https://x.bad.example.co.uk/a", "docs", "excluded_host"), ("https://example.com/a", "docs", "outside_host"), ("https://OTHER.org/b", "docs", ""),
+        ("https://shop.example.co.uk/a?sort=1", "docs", "excluded_by_pattern"), ("https://shop.example.co.uk/c", "docs", "not_included_by_pattern"), ("https://shop.example.co.uk/a", None, "outside_segment"), ("mailto:x", "docs", "outside_host"),
+    ]
+    df = spark.createDataFrame(rows, "url string, segment string, want string").select("want", rejection(F.col("url"), s, F.col("segment")).alias("got"))
+    assert all(r.want == r.got for r in df.collect())
+
+
+def test_assets(spark):
+    from tessella.functions import assets
+
+    css = "@font-face { font-family: a; src: url(a) } @font-face { font-display: swap; src: url(b) } @import 'x.css'; @import url(\"y.css\") print;"
+    js = "var a=1;" * 100 + "debugger;console.debug(a);alert (1)"
+    df = spark.createDataFrame([(css, js, None, "max-age=60"), ("", "let a = 1;\n  debugger;\n", "a", "immutable, max-age=1"), (None, "//# sourceMappingURL=old.map\n//# sourceMappingURL=new.map", "", "no-cache"), (None, "//# sourceMappingURL=data:abc", "", None)], "css string, js string, x string, cache string")
+    got = df.select(assets.fonts_without_display(F.col("css")).alias("fonts"), assets.css_imports(F.col("css")).alias("imports"), assets.debug_code(F.col("js")).alias("debug"), assets.source_map(F.col("js")).alias("map"), assets.cache_verdict(F.col("cache")).alias("cache")).collect()
+    assert got[0].fonts == ["font-family: a; src: url(a)"] and got[0].imports == ["x.css", "y.css"] and got[0].debug == ["alert (", "console.debug(", "debugger"]
+    assert [g.debug for g in got[1:]] == [[], [], []] and [g.map for g in got] == [None, None, "new.map", None]
+    assert [(g.cache.ok, g.cache.max_age) for g in got] == [(False, 60), (True, 1), (False, 0), (False, None)]
+    tags = spark.createDataFrame([("script", {"src": "a"}), ("script", {"src": "a", "defer": ""}), ("script", {"src": "a", "type": "module"}), ("link", {"rel": "preload stylesheet", "href": "a"}), ("link", {"rel": "stylesheet", "href": "a", "media": "print"}), ("img", {"src": "a"})], "tag string, attrs map<string, string>")
+    assert [r[0] for r in tags.select(assets.render_blocking(F.col("tag"), F.col("attrs"))).collect()] == [True, False, False, True, False, False]
+    libs = spark.createDataFrame([("u1", "js", True, "a b"), ("u2", "js", True, "ab\n"), ("u1", "js", True, "a b"), ("u3", "css", True, "ab"), ("u4", "js", False, "ab"), ("u5", "js", True, None)], "url string, kind string, ok boolean, text string")
+    assert sorted((r.kind, r.url, r.addresses) for r in assets.duplicate_libraries(libs).collect()) == [("js", "u1", 2), ("js", "u2", 2)]
+
+
+def test_rendering(spark):
+    from tessella.plans import rendering
+
+    facts = "url string, words bigint, links bigint, images array<string>, title string, h1 string, canonical string, jsonld_types array<string>, html_bytes bigint"
+    raw = spark.createDataFrame([("same", 100, 3, ["a"], "t", "h", "c", ["X"], 900), ("lost", 100, 3, [], "t", "", "", [], 900), ("spa", 3, 0, None, "t", None, None, None, 100)], facts)
+    raw = raw.withColumn("shell", F.when(F.col("url") == "spa", rendering.empty_shell(F.lit('<body><div class="x" id="root"> </div>'))))
+    rendered = spark.createDataFrame([("same", 110, 3, ["a"], "t", "h", "c", ["X"], 990), ("lost", 0, 0, [], "", None, "", [], 100), ("spa", 400, 20, ["i"], "u", "h", "c", ["Y", "X"], 9000)], facts)
+    got = {r.url: (r.findings, r.types_added) for r in rendering.compared(raw, rendered).collect()}
+    assert got["same"] == (["all_clear"], []) and got["lost"] == (["render_unavailable"], [])
+    assert got["spa"] == (["empty_shell", "links_after_scripts", "title_changes", "h1_differs", "canonical_changes", "types_after_scripts", "images_after_scripts"], ["X", "Y"])
+
+
+def test_bots_and_prices(spark):
+    from tessella.functions import scores
+    from tessella.sources import logs
+
+    agents = ["Mozilla/5.0 (Linux; Android) Mobile (compatible; Googlebot/2.1)", "googlebot-image/1.0", "APIs-Google", "YandexDirect/3", "some crawler here", "-", "", None, "Mozilla/5.0", "Pinterest/0.2"]
+    got = [r[0] for r in spark.createDataFrame([(a,) for a in agents], "a string").select(logs.bot(F.col("a"))["name"]).collect()]
+    assert len(logs.BOTS) == 53 and got == ["Googlebot Smartphone", "Googlebot Image", "APIs-Google", "Yandex (other)", "Other bot", None, None, None, None, "Pinterestbot"]
+    texts = ["1,23,456 USD or 100 EUR", "500 kr", "12 у.е.", "99 рублей", "XX$ 5", "£1.299"]
+    rows = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(scores.price(F.col("t"))).collect()]
+    assert len(scores.CURRENCIES) == 47 and [(r.value, r.currency) if r else None for r in rows] == [(100.0, "EUR"), (500.0, None), (12.0, None), (99.0, "RUB"), None, (1299.0, "GBP")]

@@ -66,8 +66,8 @@ def test_logs(spark, tmp_path):
     assert len(rows) == 4 and logs.malformed(lines).first()[0] == 1
     assert str(rows[0].time) == "2000-10-10 20:55:36" and rows[1].bytes is None and rows[2].user_agent is None
     r = logs.rollup(logs.parsed(lines))
-    assert {(x.family, x.bot, x.hits) for x in r["by_bot"].collect()} == {("google", "Googlebot", 1), ("ai", "GPTBot", 1)}
-    assert {(x.family, x.section, x.hits) for x in r["by_section"].collect()} == {("google", "/a", 1), ("other", "/c", 1), ("other", "/a", 1), ("ai", "/a", 1)}
+    assert {(x.family, x.bot, x.hits) for x in r["by_bot"].collect()} == {("googlebot", "Googlebot", 1), ("ai", "GPTBot (OpenAI)", 1)}
+    assert {(x.family, x.section, x.hits) for x in r["by_section"].collect()} == {("googlebot", "/a", 1), ("other", "/c", 1), ("other", "/a", 1), ("ai", "/a", 1)}
     assert r["span"].first().truncated is False
     (tmp_path / "iis.log").write_text("#Fields: date time c-ip cs-method cs-uri-stem cs-uri-query sc-status cs(User-Agent)\n2024-01-02 03:04:05 9.9.9.9 GET /x q=1 200 bingbot+2\n#Fields: date time sc-status cs-uri-stem\n2024-01-02 03:04:06 500 /y\n")
     w = logs.read_w3c(spark, str(tmp_path / "iis.log")).orderBy("time").collect()
