@@ -377,7 +377,8 @@ def repeated_stretches(texts: DataFrame, length: int) -> DataFrame:
     table, table_path = materialize(with_bytes(texts, met.where("kinds > 1").select("h", "c", "rep"), length).dropDuplicates(["h", "c"]).withColumn("copies", F.lit(1)), "repeats-bytes")
     part = found_in_blocks(table, length, BLOCK)
     discard(spark, table_path)
-    by_context = whole.unionByName(part).groupBy("h", "c").agg(F.collect_set(F.struct("low", "high")).alias("own"))
+    # Written first, so that a context of very many texts can be split in the join.
+    by_context, _ = materialize(whole.unionByName(part).groupBy("h", "c").agg(F.collect_set(F.struct("low", "high")).alias("own")), "repeats-by-context")
     return every.join(by_context, ["h", "c"]).select("tid", "p", F.explode("own").alias("x")).select("tid", (F.col("p") + F.col("x.low")).alias("low"), (F.col("p") + F.col("x.high")).alias("high")).distinct()
 
 
