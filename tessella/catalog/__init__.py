@@ -10,10 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.catalog import corpus, graphs, joins, pages, site, tables
+from tessella.catalog import corpus, exports, graphs, joins, pages, site, tables
 from tessella.catalog.base import Query
 
-ALL: tuple[Query, ...] = (*pages.QUERIES, *joins.QUERIES, *graphs.QUERIES, *corpus.QUERIES, *tables.QUERIES, *site.QUERIES)
+ALL: tuple[Query, ...] = (*pages.QUERIES, *joins.QUERIES, *graphs.QUERIES, *corpus.QUERIES, *tables.QUERIES, *site.QUERIES, *exports.QUERIES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

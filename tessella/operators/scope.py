@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,15 +23,6 @@ class Scope:
     exclude_patterns: tuple[str, ...] = ()
     include_patterns: tuple[str, ...] = ()
     segments_only: tuple[str, ...] = ()
-    #: Suffixes of two parts under which names are registered.
-    double_suffixes: frozenset[str] = field(default_factory=lambda: frozenset(("co.uk", "org.uk", "com.au", "co.jp", "com.br", "co.nz", "com.tr", "co.za")))
-
-
-def registrable_domain(host: Column, double_suffixes: frozenset[str]) -> Column:
-    """The last two labels of a host, three where its suffix has two."""
-    labels = F.split(host, r"\.")
-    last = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
-    return F.when(last(2).isin(*double_suffixes), last(3)).otherwise(last(2))
 
 
 def internal(url: Column, scope: Scope) -> Column:
@@ -39,7 +30,7 @@ def internal(url: Column, scope: Scope) -> Column:
     start = scope.start_host.lower()
     own = host == start
     if scope.internal == "registrable_domain":
-        own = registrable_domain(host, scope.double_suffixes) == registrable_domain(F.lit(start), scope.double_suffixes)
+        own = urls.registrable_domain(host) == urls.registrable_domain(F.lit(start))
     if scope.segment_hosts:
         own = own | host.isin(*(h.lower() for h in scope.segment_hosts))
     return (host != "") & own
