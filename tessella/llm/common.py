@@ -8,7 +8,7 @@ import tempfile
 import threading
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of a batch that goes to a Python worker.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,6 +115,22 @@ def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+#: Characters of texts whose words a Python worker holds at once, about.
+HELD_CHARS = 1_000_000
+
+
+def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Stretches of the texts that have about HELD_CHARS characters."""
+    low, chars = 0, 0
+    for k, t in enumerate(texts):
+        chars += len(t)
+        if chars >= HELD_CHARS:
+            yield low, k + 1
+            low, chars = k + 1, 0
+    if low < len(texts):
+        yield low, len(texts)
+
+
 def word_hashes(texts: list[list]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all the texts, one text after the other, and where each text begins, with the end of the last."""
     starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]).astype(np.int64)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import ids_as_text, materialize, mix64, read_table, sized, stacked, window_hashes, with_columns_kept
+from tessella.llm.common import ids_as_text, materialize, mix64, read_table, sized, slices, stacked, window_hashes, with_columns_kept
 
 WINDOW = 5
 SIMILARITY = 0.8
@@ -42,7 +42,7 @@ LITERAL = 0.9
 DRIFT = 8
 #: Windows of the benchmark, 16 bytes each, that are sent to every task; beyond it both sides are joined by a shuffle.
 SENT_WINDOWS = 1_000_000
-WORD_CACHE = 300_000
+WORD_CACHE = 200_000
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(%|st|nd|rd|th)?")
 #: Units of measure.
 UNITS = frozenset(
@@ -137,22 +137,23 @@ def document_windows(docs: DataFrame, wanted: np.ndarray | None, words: np.ndarr
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
             doc_ids, rows = batch["doc_id"].to_numpy(object), batch["row"].to_numpy(np.int64)
             parts = []
-            canon, _, starts = reader.read_all(texts)
-            of = np.repeat(np.arange(len(texts)), np.diff(starts))
-            among = np.ones(len(canon), bool) if words is None else words[np.minimum(np.searchsorted(words, canon), len(words) - 1)] == canon
-            before = np.concatenate([[0], np.cumsum(among)])
-            for width in widths:
-                at = np.flatnonzero(before[width:] - before[:-width] == width) if len(canon) >= width else np.empty(0, np.int64)
-                at = at[of[at] == of[at + width - 1]]
-                h = np.zeros(len(at), np.uint64)
-                for k in range(width):
-                    h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + canon[at + k])
-                if wanted is not None:
-                    hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
-                    at, h = at[hit], h[hit]
-                found = pd.DataFrame({"k": of[at], "hash": h.view(np.int64)}).drop_duplicates()
-                k = found["k"].to_numpy()
-                parts.append((doc_ids[k], rows[k], found["hash"].to_numpy()))
+            for low, high in slices(texts):
+                canon, _, starts = reader.read_all(texts[low:high])
+                of = np.repeat(np.arange(low, high), np.diff(starts))
+                among = np.ones(len(canon), bool) if words is None else words[np.minimum(np.searchsorted(words, canon), len(words) - 1)] == canon
+                before = np.concatenate([[0], np.cumsum(among)])
+                for width in widths:
+                    at = np.flatnonzero(before[width:] - before[:-width] == width) if len(canon) >= width else np.empty(0, np.int64)
+                    at = at[of[at] == of[at + width - 1]]
+                    h = np.zeros(len(at), np.uint64)
+                    for k in range(width):
+                        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + canon[at + k])
+                    if wanted is not None:
+                        hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+                        at, h = at[hit], h[hit]
+                    found = pd.DataFrame({"k": of[at], "hash": h.view(np.int64)}).drop_duplicates()
+                    k = found["k"].to_numpy()
+                    parts.append((doc_ids[k], rows[k], found["hash"].to_numpy()))
             yield stacked(["doc_id", "row", "hash"], parts)
 
     return docs.mapInPandas(run, "doc_id string, row long, hash long")
