@@ -38,8 +38,11 @@ def once(events: DataFrame, time: str, key: list[str], late: str = "1 hour") ->
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
 
 
-def breaker(events: DataFrame, limit: int, forget: int = 3_600_000) -> DataFrame:
-    """host, streak, open: fetches (host, seq, status) stream; a run of refusals, server errors and silences opens the breaker of a host."""
+def breaker(events: DataFrame, limit: int, forget: int | None = None) -> DataFrame:
+    """host, streak, open: fetches (host, seq, status) stream; a run of refusals, server errors and silences opens the breaker of a host.
+
+    forget: milliseconds after which a silent host's streak is dropped, for streams that go on; a stream that ends when it
+    has read what is there would wait for timeouts for ever, and has none."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -51,10 +54,11 @@ def breaker(events: DataFrame, limit: int, forget: int = 3_600_000) -> DataFrame
             bad = pd.isna(status) or status == 429 or status >= 500
             streak = streak + 1 if bad else 0
         state.update((streak,))
-        state.setTimeoutDuration(forget)
+        if forget:
+            state.setTimeoutDuration(forget)
         yield pd.DataFrame({"host": [key[0]], "streak": [streak], "open": [streak >= limit]})
 
-    return events.groupBy("host").applyInPandasWithState(run, "host string, streak int, open boolean", "streak int", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("host").applyInPandasWithState(run, "host string, streak int, open boolean", "streak int", "update", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
 
 
 def capped_sink(events: DataFrame, path: str, checkpoint: str, cap: int) -> StreamingQuery:
