@@ -25,7 +25,10 @@ REGIONS = {"nav": "nav", "header": "header", "aside": "sidebar", "footer": "foot
 #: Words in class, id or role that tell where a link is, in order; the first that fits counts.
 PLACES = (("breadcrumb", "breadcrumbs"), ("nav", "nav"), ("menu", "nav"), ("sidebar", "sidebar"), ("footer", "footer"), ("masthead", "header"), ("header", "header"))
 CONTENT = ("main", "role=main", "article", "body")
-LOREM = re.compile(r"\blorem\s+ipsum\b", re.I)
+#: Fixed value: the placeholder passage.
+LOREM = re.compile(r"lorem\s+ipsum\s+dolor\s+sit\s+amet", re.I)
+#: Elements that begin and end a line of text.
+BLOCKS = frozenset(("p", "div", "li", "tr", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "br"))
 PLUGINS = frozenset(("object", "embed", "applet"))
 CSS_URL = re.compile(r"url\(\s*['\"]?([^'\")]+)['\"]?\s*\)", re.I)
 AJAX = re.compile(r"#!|[?&]_escaped_fragment_")
@@ -95,6 +98,8 @@ class Reader(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in BLOCKS:
+            self.line_ends()
         a = {k: v or "" for k, v in reversed(attrs)}
         inert = any(t == "template" for t, _, _ in self.stack)
         self.nodes += 1
@@ -127,14 +132,17 @@ class Reader(HTMLParser):
         if not inert:
             self.element(tag, a, region)
 
+    def line_ends(self) -> None:
+        for parts in self.texts.values():
+            parts.append("\n")
+
     def handle_endtag(self, tag: str) -> None:
         if tag == "head":
             self.in_head = False
         if tag == "a" and self.open_links:
             self.open_links.pop()
-        if tag in ("p", "div", "li", "tr", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "br"):
-            for parts in self.texts.values():
-                parts.append("\n")
+        if tag in BLOCKS:
+            self.line_ends()
         region = self.stack[-1][2] if self.stack else ""
         if region in self.regions:
             self.regions[region].append(f"</{tag}>")

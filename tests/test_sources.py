@@ -140,7 +140,7 @@ def test_sitemaps(spark, tmp_path):
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>My  &amp; title</title><meta name="description" content="d"><meta charset="utf-8"><meta name="robots" content="noindex"><link rel="canonical" href="/c"><link rel="next" href="?p=2">
 <link rel="alternate" hreflang="de" href="/de"><script src="/a.js"></script><script async src="/b.js"></script><link rel="stylesheet" href="/s.css"><style>p{background:url('/bg.png')}</style>
 <script type="application/ld+json">{"@type": "Article", "author": {"@type": "Person"}}</script><script type="application/ld+json">{bad}</script><meta property="og:title" content="OG"></head>
-<body><nav><a href="/n" rel="nofollow">nav</a></nav><main><h2>Before</h2><h1><a href="/h">Head <img src="x.png" alt="pic"></a></h1><p>Some text<p>More <b>bold</b> text lorem ipsum<h3>Deep</h3><a href="/img" target="_blank"><img src="y.png"></a>
+<body><nav><a href="/n" rel="nofollow">nav</a></nav><main><h2>Before</h2><h1><a href="/h">Head <img src="x.png" alt="pic"></a></h1><p>Some text<p>More <b>bold</b> text lorem  ipsum dolor sit amet<h3>Deep</h3><a href="/img" target="_blank"><img src="y.png"></a>
 <ul><li>One<li>Two</ul><form action="/f" method="POST"><input type="password"></form><iframe src="/frame"></iframe><template><title>no</title><a href="/no">no</a></template></main><footer><a href="https://other/x">out</a></footer></body></html>"""
 
 
