@@ -141,9 +141,7 @@ def extract_elements(documents: DataFrame, name: str, selector: str, attribute:
 
 
 def elements(html: str, chain: list[dict], attribute: str | None) -> list[str]:
-    from html.parser import HTMLParser
-
-    from tessella.functions.html import VOID
+    from tessella.functions.html import VOID, Tokens
 
     def fits(want: dict, tag: str, a: dict[str, str]) -> bool:
         return (
@@ -153,7 +151,7 @@ def elements(html: str, chain: list[dict], attribute: str | None) -> list[str]:
             and (want["attr"] is None or want["attr"] in a and (want["val"] is None or a[want["attr"]] == want["val"]))
         )
 
-    class Finder(HTMLParser):
+    class Finder(Tokens):
         def __init__(self) -> None:
             super().__init__(convert_charrefs=True)
             self.stack: list[tuple[str, int]] = []  # open elements, with how much of the chain they and those above fit
@@ -161,7 +159,7 @@ def elements(html: str, chain: list[dict], attribute: str | None) -> list[str]:
             self.found: list[list[str]] = []
 
         def handle_starttag(self, tag: str, attrs: list) -> None:
-            a = {k: v or "" for k, v in attrs}
+            a = {k: self.as_written(v or "") for k, v in attrs}
             at = self.stack[-1][1] if self.stack else 0
             if at == len(chain) - 1 and fits(chain[-1], tag, a):
                 text: list[str] = [a.get(attribute, "")] if attribute else []
@@ -181,7 +179,7 @@ def elements(html: str, chain: list[dict], attribute: str | None) -> list[str]:
 
         def handle_data(self, data: str) -> None:
             for _, text in self.open:
-                text.append(data)
+                text.append(self.as_written(data))
 
     f = Finder()
     f.feed(html)

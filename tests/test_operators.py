@@ -209,3 +209,11 @@ def test_bots_and_prices(spark):
     texts = ["1,23,456 USD or 100 EUR", "500 kr", "12 у.е.", "99 рублей", "XX$ 5", "£1.299"]
     rows = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(scores.price(F.col("t"))).collect()]
     assert len(scores.CURRENCIES) == 47 and [(r.value, r.currency) if r else None for r in rows] == [(100.0, "EUR"), (500.0, None), (12.0, None), (99.0, "RUB"), None, (1299.0, "GBP")]
+
+
+def test_elements_keep_references_without_semicolon(spark):
+    html = '<article><h1>a &amp; b&amp;c &lt;x&gt; &#x27;&amp</h1></article><article><h1>&ampx; &am</h1><a href="?a=1&copy=2&amp;b">R&amp;D</a></article>'
+    docs = spark.createDataFrame([("u", True, html), ("v", True, "<article><h1> &lt</h1></article>")], "url string, ok boolean, html string")
+    got = {r.url: r.t for r in search.extract_elements(docs, "t", "article h1").collect()}
+    assert got == {"u": ["a & b&c <x> '&amp", "&ampx; &am"], "v": [" &lt"]}
+    assert search.extract_elements(docs, "t", "a[href]", "href").first().t == ["?a=1&copy=2&b"]
