@@ -172,3 +172,10 @@ def test_parsed_frames(spark):
     parsed = html.parsed_pages(pages)
     assert parsed.count() == 2 and html.link_rows(parsed).count() == 4 and html.form_rows(parsed).first().action == "https://x/f"
     assert {(r.hash is None, r.pages, r.dominant) for r in html.boilerplate_report(parsed).collect()} == {(True, 1, False), (False, 1, True)}
+
+
+def test_references_without_semicolon_stay():
+    page = '<!DOCTYPE html><html lang="a&amp"><head><title>x &amp;&amp; y&ampz &lt</title><script type="application/ld+json">{"@type": "A&amp"}</script></head><body><nav class="&lt">&ampm;</nav><a href="/p?a=1&copy=2&amp;c=3">&am</a></body></html>'
+    p = html.parse("https://x/", page)
+    assert (p["title"], p["lang"], p["schema_types"]) == ("x && y&ampz &lt", "a&amp", ["A&amp"])
+    assert (p["text"], p["links"][0]["raw_href"], p["links"][0]["anchor"]) == ("&ampm;&am", "/p?a=1&copy=2&c=3", "&am")
