@@ -20,7 +20,9 @@ alike; very long texts are read whole; extra columns are ignored; an empty table
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from functools import cache, lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import build, ids_as_text, materialize, read_table, stacked, with_columns_kept, word_hashes
+from tessella.llm.common import build, ids_as_text, materialize, mix64, mixed, read_table, stacked, with_columns_kept
 
 VOCABULARY = 4096
 CLUSTERS = 64
@@ -46,6 +48,8 @@ STEP = 16_384
 SHARD, PART = 1_000_000, 65_536
 #: Words that are at least so much of all have a probability of their own.
 LEAST_SHARE = 1e-6
+#: Characters that are hashed together, but for a longer word.
+CHARS = 32_768
 #: Different words that a task counts before it passes them on, about.
 COUNTED = 2_000_000
 SHAPES = {
@@ -66,9 +70,52 @@ PAD = VOCABULARY
 OFFSETS = [k for k in range(2 * SIDE + 1) if k != SIDE]
 
 
+@cache
+def characters() -> np.ndarray:
+    """A number for each character, 0 for white space."""
+    out = mix64(np.arange(1, sys.maxunicode + 2, dtype=np.uint64))
+    out[[c for c in range(0x10000) if chr(c).isspace()]] = 0
+    return out
+
+
+@lru_cache(2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number, and their inverses, modulo 2 to the 64."""
+    bases = (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    out = [np.multiply.accumulate(np.full(n, b, np.uint64)) for b in bases]
+    return out[0], out[1]
+
+
 def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all the texts, lower-cased, and where each text begins, with the end of the last."""
-    return word_hashes([t.lower().split() if isinstance(t, str) else [] for t in texts])
+    """Hashes of the words of all the texts, lower-cased, and where each text begins, with the end of the last.
+
+    A word's hash is the sum of its characters' numbers times the powers of its places, mixed; a block of texts is
+    multiplied by the powers of its own places, and each word's sum by the inverse of where the word begins."""
+    lower = [t.lower() if isinstance(t, str) else "" for t in texts]
+    codes = np.frombuffer("\n".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    found, places, low, size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0, CHARS
+    while low < len(codes):
+        x = characters().take(codes[low : low + size])
+        space = x == 0
+        if low + size < len(codes):  # up to the last word's end, or on to the end of a very long word
+            if not space.any():
+                size *= 2
+                continue
+            end = len(x) - int(space[::-1].argmax())
+            x, space = x[:end], space[:end]
+        begins = ~space
+        begins[1:] &= space[:-1]
+        first = np.flatnonzero(begins)
+        if len(first):
+            up, down = powers(size)
+            x *= up[: len(x)]
+            h = np.add.reduceat(x, first)
+            h *= down[first]
+            found.append(mixed(h))
+            places.append(first + low)
+        low, size = low + len(x), CHARS
+    ends = np.cumsum(np.fromiter(map(len, lower), np.int64, len(lower)) + 1)
+    return np.concatenate(found), np.concatenate([[0], np.searchsorted(np.concatenate(places), ends)]).astype(np.int64)
 
 
 def slots(hashes: np.ndarray) -> np.ndarray:
@@ -149,11 +196,12 @@ class Network:
 
     @staticmethod
     def log_share(x: np.ndarray, at: np.ndarray, moderate: bool) -> np.ndarray:
-        """The log of the softmax at one place of each row; x is changed."""
+        """The log of the softmax at one place of each row, whatever rows are beside it; x is changed."""
         if not moderate:
             x -= x.max(axis=1, keepdims=True)
         own = x[np.arange(len(x)), at]
-        return own - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], np.float32))
+        # Not as a product with ones: that rounds a row's sum by the row's place among the others.
+        return own - np.log(np.einsum("ij->i", np.exp(x, out=x)))
 
     @staticmethod
     def error(x: np.ndarray, at: np.ndarray, scale: np.ndarray, moderate: bool) -> np.ndarray:
@@ -218,10 +266,12 @@ class Network:
         outer, inner = self.logits(h, parts)
         outer, inner = self.error(outer, target // size, scale, moderate), self.error(inner, target % size, scale, moderate)
         dz = outer @ w["cluster"].T
-        members = np.empty((len(parts), HIDDEN, size), np.float32)
+        members, biases, ones = np.empty((len(parts), HIDDEN, size), np.float32), np.empty((len(parts), size), np.float32), np.ones(len(chosen), np.float32)
         for k, (c, low, high) in enumerate(parts):
-            dz[low:high] += inner[low:high] @ w["member"][c].T
-            np.matmul(h[low:high].T, inner[low:high], out=members[k])
+            own = inner[low:high]
+            dz[low:high] += own @ w["member"][c].T
+            np.matmul(h[low:high].T, own, out=members[k])
+            np.matmul(ones[low:high], own, out=biases[k])
         dz *= 1 - h * h
         spread = np.zeros((n, WIDTH), np.float32)
         spread[chosen] = dz @ w["hidden"].T
@@ -236,12 +286,12 @@ class Network:
         self.moved("embedding", np.add.reduceat(back.take(ranked, axis=0), first, axis=0), ordered[first].astype(np.int64))
         self.moved("place", places)
         self.moved("hidden", mixed.T @ dz)
-        self.moved("hidden_bias", dz.sum(axis=0))
+        self.moved("hidden_bias", ones @ dz)
         self.moved("cluster", h.T @ outer)
-        self.moved("cluster_bias", outer.sum(axis=0))
+        self.moved("cluster_bias", ones @ outer)
         touched = slice(None) if len(parts) == CLUSTERS else np.asarray([c for c, _, _ in parts])
         self.moved("member", members, touched)
-        self.moved("member_bias", np.add.reduceat(inner, [low for _, low, _ in parts], axis=0), touched)
+        self.moved("member_bias", biases, touched)
 
 
 class Shares(NamedTuple):
@@ -254,9 +304,11 @@ class Shares(NamedTuple):
     def of(self, hashes: np.ndarray) -> np.ndarray:
         out = self.others[slots(hashes)]
         if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            hit = self.hashes[at] == hashes
-            out[hit] = self.logs[at[hit]]
+            order = np.argsort(hashes)  # words in order are found much faster
+            ranked = hashes[order]
+            at = np.minimum(np.searchsorted(self.hashes, ranked), len(self.hashes) - 1)
+            hit = np.flatnonzero(self.hashes[at] == ranked)
+            out[order[hit]] = self.logs[at[hit]]
         return out
 
 

@@ -105,3 +105,32 @@ def test_scores_do_not_depend_on_the_split(spark, monkeypatch):
     one = {r.doc_id: r.log_likelihood for r in score_documents(df.coalesce(1)).collect()}
     other = {r.doc_id: r.log_likelihood for r in score_documents(df.repartition(8)).collect()}
     assert one.keys() == other.keys() and all(abs(one[k] - other[k]) < 1e-3 for k in one)
+
+
+def test_equal_words_have_equal_hashes_wherever_they_are(monkeypatch):
+    monkeypatch.setattr(lm_score, "CHARS", 16)
+    rng = random.Random(6)
+    spaces = [" ", "\n", "\t ", "\x1c", "\x85", "\u2003", "\u3000 "]
+    words = ["".join(rng.choice("abAB\u0130Σé漢\U0001f600\ud800\x00\u200b") for _ in range(rng.randint(1, 7))) for _ in range(400)] + ["x" * 100, "ab" * 50]
+    texts = [None, "", " \n", "a", " a b"] + ["".join(rng.choice(words) + rng.choice(spaces) for _ in range(rng.randint(0, 30))) for _ in range(300)] + ["".join(words)]
+    hashes, starts = hashed(texts)
+    plain = [t.lower().split() if t else [] for t in texts]
+    assert np.diff(starts).tolist() == [len(x) for x in plain] and len(hashes) == starts[-1]
+    by_word = {}
+    for w, h in zip([w for x in plain for w in x], hashes.tolist()):
+        assert by_word.setdefault(w, h) == h
+    assert len(set(by_word.values())) == len(by_word)
+    counts = np.bincount(slots(hashed([f"word{k}" for k in range(400_000)])[0]), minlength=VOCABULARY)
+    assert len(counts) == VOCABULARY and 40 < counts.min() and counts.max() < 160  # as by chance: 98 a slot
+    monkeypatch.setattr(lm_score, "CHARS", 32_768)
+    assert (hashed(texts)[0] == hashes).all() and len(hashed([])[0]) == 0 and hashed([])[1].tolist() == [0]
+
+
+def test_probabilities_do_not_depend_on_what_is_beside_them():
+    """So that repeated rows score alike in whatever batches they are."""
+    net, rng = Network(seed=5), np.random.default_rng(9)
+    sequence, _ = padded([rng.integers(0, VOCABULARY, 3000).astype(np.int16)])
+    whole = net.log_probabilities(sequence)
+    for size in (1, 7, 50, 111, 640, 1000):
+        parts = [net.log_probabilities(sequence[low : low + size + 2 * SIDE]) for low in range(0, 3000, size)]
+        assert (np.concatenate(parts) == whole).all(), size
